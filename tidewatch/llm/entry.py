@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, packing, quality, urls
+from tidewatch.llm import ann, bpe, html, neardup, packing, quality, spans, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op3_packing": packing.op3_packing,
+        "op4_spans": spans.op4_spans,
         "op5_quality": quality.op5_quality,
+        "op6_neardup": neardup.op6_neardup,
+        "op7_ann": ann.op7_ann,
+        "op8_html": html.op8_html,
         "op10_urls": urls.op10_urls,
     }
 
