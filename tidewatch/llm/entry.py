@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ann, bpe, html, neardup, packing, quality, spans, urls
+from tidewatch.llm import ann, bpe, html, neardup, packing, quality, scoring, spans, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_scoring": scoring.op2_scoring,
         "op3_packing": packing.op3_packing,
         "op4_spans": spans.op4_spans,
         "op5_quality": quality.op5_quality,
