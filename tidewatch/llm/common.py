@@ -79,11 +79,20 @@ class Memory(dict):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if not self.recall(key):
+            self.put(key, self.make(key))
+        return self[key]
+
+    def recall(self, key) -> bool:
+        """Whether the key is remembered; it is then among the newer ones."""
         found = self.old.get(key)
         if found is None:
-            found = self.make(key)
+            return key in self
+        self.put(key, found)
+        return True
+
+    def put(self, key, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value

@@ -18,48 +18,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import batches_of, durable, read_table, rows_of, text_bytes
+from tidewatch.llm.common import Memory, batches_of, durable, read_table
 
 CAPACITY = 2048
-END = b"\0\0\0\0"
-#: Words a worker remembers, and the longest of them (in bytes).
-MEMORY, LONGEST = 1 << 17, 64
+END = np.zeros(1, "<u4")
+#: Words of odd form that a worker remembers (up to twice as many), and bytes of text whose words are looked up together.
+MEMORY, CHUNK = 50_000, 8 << 20
 #: Fillings looked at around one piece, and nodes of the whole search.
-WIDTH, NODES = 12, 20_000
+WIDTH, NODES = 12, 2_000
 
 
-class WordTokenizer(dict):
-    """White-space separated words to the bytes of their ids.
+#: Words of Latin letters, of which each is one piece for the splitting pattern, with or without marks, which are one too.
+_LETTERS = "[a-zA-Z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{132}-\\x{24f}]+"
+_MARKS = "[!-&(-/:-@\\[-`{-~]+"
+
+
+class WordTokenizer:
+    """Texts to ids, by their distinct words.
 
     The vocabulary drops white space and its splitting pattern crosses none, so the ids of a text are those of its
-    words, one after the other. Its white space is Unicode's; texts with characters on which ``str.split`` differs
-    (the separators U+001C to U+001F) go through the library whole.
+    words (between ASCII white space; any other is left to the library), one after the other. Distinct words of plain
+    form are encoded in one call: the last id of a piece, and no other, is that of a token with the word-end suffix,
+    and their form tells how many pieces they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.ids = lambda text: np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids(word)
-        if len(word) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        self.memory = Memory(self.ids, MEMORY)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        letters = pc.match_substring_regex(words, f"^{_LETTERS}$")
+        marked = pc.match_substring_regex(words, f"^{_LETTERS}{_MARKS}$")
+        pieces = letters.cast(pa.int8()).to_numpy(zero_copy_only=False) + 2 * marked.cast(pa.int8()).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(pieces)
+        ids, sizes = np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
+        if len(plain):
+            found = self.ids(" ".join(words.take(pa.array(plain)).to_pylist()))
+            ends = np.flatnonzero(self.ends[found]) + 1
+            last = np.cumsum(pieces[plain].astype(np.int64)) - 1
+            if len(ends) == last[-1] + 1:
+                ids, sizes[plain] = found, np.diff(ends[last], prepend=0)
+            else:
+                plain = plain[:0]
+        rest = np.setdiff1d(np.arange(len(words)), plain, assume_unique=True)
+        if not len(rest):
+            return ids, sizes
+        own = [self.memory[w] for w in words.take(pa.array(rest)).to_pylist()]
+        sizes[rest] = list(map(len, own))
+        out = np.zeros(sizes.sum(), "<u4")
+        others = np.zeros(len(words), bool)
+        others[rest] = True
+        where = np.repeat(others, sizes)
+        out[where] = np.concatenate(own)
+        out[~where] = ids
+        return out, sizes
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        split = pc.ascii_split_whitespace(texts)
+        words = pc.dictionary_encode(split.flatten())
+        ids, sizes = self._distinct(pc.cast(words.dictionary, pa.string()))
+        at = words.indices.to_numpy(zero_copy_only=False)
+        starts, each = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        # Place i of a word in the stream is place i of that word among the distinct ones.
+        total = np.concatenate([[0], np.cumsum(each)])
+        out = ids[np.repeat(starts - total[:-1], each) + np.arange(total[-1])]
+        return out, np.diff(total[split.offsets.to_numpy()])
 
 
 _held: dict[str, WordTokenizer] = {}
@@ -71,23 +110,47 @@ def tokenizer(path: str) -> WordTokenizer:
     return _held[path]
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """doc_id and text of about ``CHUNK`` bytes of rows at a time."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            held.append(part)
+            weight += part.nbytes
+            if weight >= CHUNK:
+                yield _joined(held)
+                held, weight = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    return whole["doc_id"].to_pylist(), pa.concat_arrays(whole["text"].chunks)
+
+
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ``token_ids`` (binary, little-endian unsigned 32-bit), the end id included."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, step = tokenizer(path), 4 * capacity
+        t = tokenizer(path)
 
         def rows():
-            for doc, data in rows_of(batches, "doc_id", "text"):
-                ids = t.encode(data.decode("utf-8", "replace")) + END
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    yield doc, i, at // 4, len(part) // 4, part
+            for docs, texts in chunks(batches):
+                ids, sizes = t.encode_all(texts)
+                reached = np.cumsum(sizes).tolist()
+                for doc, a, b in zip(docs, [0, *reached], reached, strict=False):
+                    own = np.append(ids[a:b], END)
+                    for i, at in enumerate(range(0, len(own), capacity)):
+                        part = own[at : at + capacity]
+                        yield doc, i, at, len(part), part.tobytes()
 
         yield from batches_of(rows(), schema, weigh=lambda r: len(r[4]))
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, token_ids binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, token_ids binary")
 
 
 def fillings(counts: list[int], present: list[int], room: int, width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:
