@@ -11,6 +11,7 @@ are encoded each by itself; extra columns of the input are not read; an empty ta
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import batches_of, read_table, rows_of, text_bytes
+from tidewatch.llm.common import Memory, batches_of, read_table, rows_of, text_bytes
 
-#: Entries a worker remembers, and the longest piece (in bytes) that it remembers; beyond that it starts anew.
-MEMORY, LONGEST = 1 << 18, 48
+#: Pieces a worker remembers (up to twice as many).
+MEMORY = 300_000
 #: ``\s`` as Unicode's White_Space, which is what the rank files' own library takes.
 WHITE = r"\p{White_Space}"
 _NONE = 1 << 62
@@ -117,25 +118,16 @@ class Codec:
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
         self.split = regex.compile(unicode_pattern(pattern)).findall
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(self.piece, MEMORY)
 
-    def piece(self, piece: bytes) -> bytes:
+    def piece(self, word: str) -> bytes:
+        piece = word.encode()
         rank = self.ranks.get(piece)
         ids = [rank] if rank is not None else segment_tree_merge(piece, self.ranks, self.longest)
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        memory, out = self.memory, []
-        for word in self.split(text):
-            ids = memory.get(word)
-            if ids is None:
-                ids = self.piece(data := word.encode())
-                if len(data) <= LONGEST:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.memory.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, memoryview(ids).cast("I")))
