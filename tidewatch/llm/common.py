@@ -31,7 +31,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Rows can be long: small Arrow batches keep what is outside the heap small as well.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), 1024) if int(before) > 0 else 1024))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,3 +103,11 @@ class Memory(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+
+def drop_durable(df: DataFrame) -> None:
+    """Deletes the files of a durable table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

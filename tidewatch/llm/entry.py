@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ann, bpe, html, neardup, packing, quality, scoring, spans, urls
+from tidewatch.llm import ann, bpe, html, neardup, packing, quality, repeats, scoring, spans, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_neardup": neardup.op6_neardup,
         "op7_ann": ann.op7_ann,
         "op8_html": html.op8_html,
+        "op9_repeats": repeats.op9_repeats,
         "op10_urls": urls.op10_urls,
     }
 
