@@ -32,7 +32,7 @@ from tidewatch.llm.common import durable, read_table, rows_of, text_bytes
 
 ORDER = 5
 #: Bytes of text in a block of documents, and words in a block of the vocabulary.
-BLOCK, WORDS = 8 << 20, 200_000
+BLOCK, WORDS = 16 << 20, 200_000
 _END = 0x0A  # no word has this byte
 
 
