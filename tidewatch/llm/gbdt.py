@@ -38,9 +38,9 @@ class Trees:
     def sql(self, columns: list[str], node: int | None = None) -> str:
         """The same score as nested CASE expressions over integer ``columns``."""
         if node is None:
-            return f"({self.base!r}D" + "".join(f" + {self.sql(columns, int(r))}" for r in self.roots) + ")"
+            return f"({self.base:.17e}" + "".join(f" + {self.sql(columns, int(r))}" for r in self.roots) + ")"
         if self.feature[node] < 0:
-            return f"{float(self.value[node])!r}D"
+            return f"{float(self.value[node]):.17e}"
         return f"CASE WHEN {columns[self.feature[node]]} <= {int(np.floor(self.threshold[node]))} THEN {self.sql(columns, int(self.left[node]))} ELSE {self.sql(columns, int(self.right[node]))} END"
 
 

@@ -10,6 +10,8 @@ cannot occur, as the longest rule wins and two rules of one length that both fit
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,20 +62,26 @@ def feature_sql(host: str = "host", path: str = "path", url: str = "url") -> dic
     }
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     """(url, label): 1 for spam. Made from a rule over a few words; replace by own labels where there are any."""
     # Fixed words of the rule: bait in spam hosts, plain words in others.
     bait = ["casino", "cheap", "pills", "free", "bets", "spam", "farm", "ads", "track", "win", "loan", "click", "bonus", "deal"]
     plain = ["garden", "river", "thing", "ration", "weather", "notes", "museum", "there", "lytion", "station", "ening", "hatre", "ora", "kitchen"]
-    word = lambda words, seed: F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(words))).cast("int") + 1)
-    spam = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(3)) == 0
-    digits = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("string")
-    name = F.when(spam, F.concat_ws("-", word(bait, "a"), word(bait, "b"))).otherwise(F.concat(word(plain, "a"), F.when(F.pmod(F.xxhash64("id", F.lit("two")), F.lit(2)) == 0, word(plain, "b")).otherwise("")))
-    # A tenth of the plain hosts also have digits, a twentieth a hyphen, so that no single sign decides.
-    name = F.when(~spam & (F.pmod(F.xxhash64("id", F.lit("digit")), F.lit(10)) == 0), F.concat(name, digits("d", 90))).when(spam & (F.pmod(F.xxhash64("id", F.lit("digit")), F.lit(3)) == 0), F.concat(name, digits("d", 999))).otherwise(name)
-    host = F.concat(word(["", "", "www.", "blog.", "m."], "sub"), name, word([".example", ".sample", ""], "mid"), word([".com", ".org", ".net"], "tld"))
-    url = F.concat(word(["http://", "https://"], "scheme"), host, F.lit("/"), word(["en", "de", "fr", "es"], "lang"), F.lit("/"), digits("page", 1000), word(["", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"], "tail"))
-    return spark.range(0, 6000, 1, 1).select(url.alias("url"), spam.cast("int").alias("label"))
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        spam = r.random() < 0.33
+        name = "-".join(r.sample(bait, 2)) if spam else r.choice(plain) + r.choice(["", *plain])
+        # Digits and hyphens are rare in plain hosts but there, so that no single sign decides.
+        if spam and r.random() < 0.3 or not spam and r.random() < 0.1:
+            name += str(r.randrange(999))
+        host = r.choice(["", "", "www.", "blog.", "m."]) + name + r.choice([".example", ".sample", ""]) + r.choice([".com", ".org", ".net"])
+        tail = r.choice(["", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"])
+        out.append((f"{r.choice(['http', 'https'])}://{host}/{r.choice(['en', 'de', 'fr', 'es'])}/{r.randrange(1000)}{tail}", int(spam)))
+    return out
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(labelled(), "url string, label int")
 
 
 def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -82,14 +90,17 @@ def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumns({"host": F.expr(host), "path": F.expr(path)})
 
 
+def fit(rows: list[tuple[int, ...]]) -> gbdt.Trees:
+    """Trees from rows of features and label; positive is spam. Hyphens and host digits only raise it."""
+    names = list(feature_sql())
+    x = np.array([r[:-1] for r in rows], float).reshape(-1, len(names))
+    return gbdt.fit(x, np.array([r[-1] for r in rows], float), trees=20, monotone={names.index("hyphens"): 1, names.index("host_digits"): 1})
+
+
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> gbdt.Trees:
-    """Trees from at most ``max_labelled`` labelled URLs; positive is spam. Hyphens and host digits only raise it."""
-    features = feature_sql()
+    """Trees from at most ``max_labelled`` labelled URLs, those of least hash."""
     few = with_parts(labelled.where("label IS NOT NULL").select("url", "label")).distinct().orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)
-    rows = sorted(tuple(r) for r in few.select(*(F.expr(e).cast("long").alias(n) for n, e in features.items()), "label").collect())
-    x = np.array([r[:-1] for r in rows], float).reshape(-1, len(features))
-    names = list(features)
-    return gbdt.fit(x, np.array([r[-1] for r in rows], float), trees=20, monotone={names.index("hyphens"): 1, names.index("host_digits"): 1})
+    return fit(sorted(tuple(r) for r in few.select(*(F.expr(e).cast("long") for e in feature_sql().values()), "label").collect()))
 
 
 def rule_sql(host: str = "host", path: str = "path") -> tuple[str, str]:
@@ -110,6 +121,23 @@ def judge(df: DataFrame, trees: gbdt.Trees, url_col: str = "url") -> DataFrame:
     return out.withColumns({"rule": F.expr(rule), "verdict": F.coalesce(F.expr(verdict), F.when(F.col("score") > 0, "block").otherwise("allow"))}).drop(*(f"_{n}" for n in features))
 
 
+def oracle_sql() -> str:
+    """The query in DuckDB's SQL. The features are the same text; the trees are fitted on the same rows, counted there."""
+    import duckdb
+
+    host, path = split_sql()
+    features = feature_sql()
+    columns = ", ".join(f"CAST({e} AS BIGINT) AS _{n}" for n, e in features.items())
+    parts = lambda table: f"(SELECT *, {path} AS path FROM (SELECT *, {host} AS host FROM {table}))"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE labelled (url VARCHAR, label INT)")
+    con.executemany("INSERT INTO labelled VALUES (?, ?)", sorted(set(labelled())))
+    trees = fit(sorted(con.execute(f"SELECT {columns}, label FROM {parts('labelled')}").fetchall()))
+    rule, verdict = rule_sql()
+    score = trees.sql([f"_{n}" for n in features])
+    return f"WITH f AS (SELECT *, {columns} FROM {parts('pages')}) SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN {score} > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM f"
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
