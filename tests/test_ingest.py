@@ -83,3 +83,27 @@ def test_url_edge_cases(spark):
     df = spark.createDataFrame(urls, "u string, host string, path string")
     for r in df.select("host", "path", enrich.url_host(F.col("u")).alias("h"), enrich.url_path(F.col("u")).alias("p")).collect():
         assert (r.h, r.p) == (r.host, r.path)
+
+
+def test_counters_and_site_table(spark):
+    from pyspark.sql import Observation
+
+    many = requests(spark, BATCH, "not json", BATCH)
+    assert {r.outcome: (r.requests, r.events) for r in ingest.counted(many, SETTINGS).collect()} == {"accepted": (2, 8), "dropped_invalid": (1, 0)}
+    seen = Observation("o")
+    ingest.observed(many, SETTINGS, seen).count()
+    assert seen.get["accepted"] == 2 and seen.get["dropped_invalid"] == 1
+    sites = spark.createDataFrame([("www.shop.example", "shop_ACME")], "host string, site string")
+    assert [r.host_site for r in ingest.with_sites(many, sites).orderBy("host_site").collect()] == ["", "shop_ACME", "shop_ACME"]
+
+
+def test_config_refusals():
+    import pytest
+
+    from tidewatch.config import from_env
+
+    good = {"TIDEWATCH_DATA": "/d", "TIDEWATCH_CHECKPOINT": "/c", "TIDEWATCH_SECRET": "x" * 16, "TIDEWATCH_SITES": "a, b"}
+    assert from_env(good).sites == ("a", "b") and from_env(good).ingest.secret == b"x" * 16
+    for bad in ({"TIDEWATCH_DATA": ""}, {"TIDEWATCH_CHECKPOINT": "/d/"}, {"TIDEWATCH_SECRET": "short"}, {"TIDEWATCH_QUERY_SECRET": "x" * 16}, {"TIDEWATCH_KEEP_DAYS": "-1"}, {"TIDEWATCH_KEEP_DAYS": "x"}):
+        with pytest.raises(ValueError):
+            from_env({**good, **bad})

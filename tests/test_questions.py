@@ -133,3 +133,19 @@ def test_authorizers(spark):
         Engine(e).query(ask("topPages"), "any")
     assert not DenyAll().allows("x", "s")
     assert Engine(e, authorizer=SharedSecret("x")).query(ask("topPages"), "x").sections["rows"].count() == 1
+
+
+def test_wire(spark):
+    import json
+
+    from tidewatch.plans import wire
+
+    e = events(spark, [{"ts_ms": T0 + 1, "event": "$pageview", "path": "/", "visitor": "a"}])
+    body = {"widget": "topPages", "site": "s", "from": "2026-09-01T00:00:00Z", "to": "2026-09-02T00:00:00+00:00", "timezone": "Asia/Kolkata", "limit": 5}
+    r = wire.parse(json.dumps(body).encode())
+    assert (r.start, r.end, r.limit, r.event) == (T0, T0 + DAY_MS, 5, "$pageview")
+    out = json.loads(wire.to_json(Engine(e).answer(r)))
+    assert out["rows"] == [{"label": "/", "events": 1, "visitors": 1}] and out["total"] == [{"total": 1}]
+    for bad in (b"x", b"[]", b" " * 70_000, json.dumps({**body, "from": "yesterday"}).encode(), json.dumps({**body, "to": "2026-09-02T00:00:00"}).encode(), json.dumps({**body, "limit": "x"}).encode()):
+        with pytest.raises(Refused):
+            wire.parse(bad)

@@ -265,6 +265,13 @@ def _audience_rolled(spark: SparkSession, d: str) -> DataFrame:
     return near.drop("views").join(exact, "j").select("views", (off("visitors", "v") & off("visits", "s")).alias("within_bound"))
 
 
+def _rolled_over_time(spark: SparkSession, d: str, r: Request) -> DataFrame:
+    e = adapter.events(spark, d)
+    near = rollup.over_time(e, rollup.build(e), r.site, r.span, r.timezone, r.event).withColumnsRenamed({"visitors": "v", "visits": "s"})
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(b) * 0.025, F.lit(2))
+    return near.join(traffic.over_time(e, r).drop("events"), "label").select("label", "events", (close("v", "visitors") & close("s", "visits")).alias("within_bound"))
+
+
 def _spans_table(spark: SparkSession, _: str) -> DataFrame:
     """The planner's golden cases: hour plans and previous spans of a few ranges and zones."""
     cases = [("ist_day", IST_START, IST_START + 86_400_000, IST), ("short", START + 60_000, START + 1_260_000, "UTC"), ("dst", midnight(local(1_709_960_400_000, NEW_YORK).date(), NEW_YORK), 1_710_216_000_000, NEW_YORK)]
@@ -375,6 +382,11 @@ def _table() -> dict[str, tuple[Query, str | None]]:
     out["two_tier_kathmandu"] = partial(_two_tier, zone_shift=20_700_000), _two_tier_sql(20_700_000)
     out["rollup_uniques_bound"] = _uniques_bound, f"{EV} SELECT path AS key, CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT visitor) AS BIGINT) AS exact, true AS within_bound FROM ev GROUP BY path"
     out["rollup_audience_bound"] = _audience_rolled, f"{EV} SELECT CAST(count(*) AS BIGINT) AS views, true AS within_bound FROM ev WHERE ts_ms >= {START} AND ts_ms < {END} AND event = '$pageview'"
+    for name, zone, shift in (("rollup_over_time", "UTC", 0), ("rollup_over_time_ist", IST, 19_800_000)):
+        r = _ask("pageviewsOverTime", START - shift, END - shift, timezone=zone)
+        out[name] = partial(_rolled_over_time, r=r), f"{EV}, {_days_sql(r.span, zone)} SELECT day AS label, CAST(count(event_id) AS BIGINT) AS events, true AS within_bound FROM days LEFT JOIN ev ON ts_ms >= a AND ts_ms < b AND {_in(r)} GROUP BY day"
+    r = _ask("topEvents")
+    out["rollup_top_events"] = lambda s, d, r=r: rollup.top_events(adapter.events(s, d), rollup.build(adapter.events(s, d)), r.site, r.span, 10).select("label", "events"), f"{EV} SELECT event AS label, CAST(count(*) AS BIGINT) AS events FROM ev WHERE {_in(r, None)} GROUP BY event"
     out["planner_golden"] = _spans_table, f"SELECT * FROM (VALUES ('ist_day', CAST(23 AS BIGINT), 2, CAST({IST_START - 86_400_000} AS BIGINT), 1), ('short', CAST(0 AS BIGINT), 1, CAST({START - 1_140_000} AS BIGINT), 1), ('dst', CAST(71 AS BIGINT), 0, CAST(1709701200000 AS BIGINT), 3)) t(name, full_hours, partials, previous_start, days)"
 
     out["fn_event_name"] = lambda s, d: _flat(s, d, "events").select("event_id", enrich.canonical_event(F.expr(_case("event_id", ("page_view", "pageView", "view", "click", "PageView")))).alias("event")), f"SELECT event_id, CASE WHEN x IN ('page_view', 'pageView', 'PageView') THEN '$pageview' ELSE x END AS event FROM (SELECT event_id, {_case('event_id', ('page_view', 'pageView', 'view', 'click', 'PageView'))} AS x FROM events)"

@@ -6,11 +6,13 @@ aggregation, so what is shuffled is a row per (hour, event, dimension, key) and
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.common import of_site, within
-from tidewatch.plans.timerange import HOUR_MS, Span, plan_hours
+from tidewatch.operators.common import local_day, of_site, within
+from tidewatch.plans.timerange import HOUR_MS, Span, local_days, midnight, plan_hours
 from tidewatch.schema import DIMENSIONS
 
 #: log2 of registers: headline rows and breakdown rows. Sketches of different sizes can't be merged, nor need they be.
@@ -68,3 +70,28 @@ def total(events: DataFrame, rollups: DataFrame, site: str, span: Span, event: s
 
 def audience(events: DataFrame, rollups: DataFrame, site: str, span: Span, event: str) -> DataFrame:
     return merge(collect(events, rollups, site, span, event, ""), sessions=True).select(F.coalesce("events", F.lit(0)).alias("views"), "visitors", "visits")
+
+
+def over_time(events: DataFrame, rollups: DataFrame, site: str, span: Span, zone: str, event: str | None) -> DataFrame:
+    """label, events, visitors, visits of each local day of the span, in one job.
+
+    Whole hours that lie in one local day come from rollups. Hours that a day's bound cuts (one a day in zones that are
+    not whole hours from UTC) and the span's ends come from raw rows, sketched by day.
+    """
+    bounds = sorted({midnight(date.fromisoformat(d), zone) for d in local_days(span, zone)} | {span.start, span.end})
+    cut = sorted({b // HOUR_MS * HOUR_MS for b in bounds if b % HOUR_MS})  # at most one for each of 402 bounds
+    want = lambda df: df.where(F.col("event") == event) if event else df
+    first, last = -(-span.start // HOUR_MS) * HOUR_MS, span.end // HOUR_MS * HOUR_MS
+    whole = want(rollups.where((F.col("site") == site) & (F.col("dim") == ""))).where((F.col("hour") >= first) & (F.col("hour") < last))
+    whole = (whole.where(~F.col("hour").isin(cut)) if cut else whole).select(local_day(zone, "hour").alias("label"), "events", "visitors", "sessions")
+    if cut:
+        hour = (F.floor(F.col("ts_ms") / HOUR_MS) * HOUR_MS).cast("long")
+        raw = want(of_site(events, site, span)).where(hour.isin(cut)).groupBy(local_day(zone).alias("label"))
+        whole = whole.unionByName(raw.agg(F.count(F.lit(1)).alias("events"), _sketch("visitor", HEADLINE, F.lit(True)).alias("visitors"), _sketch("session", HEADLINE, F.lit(True)).alias("sessions")))
+    days = events.sparkSession.createDataFrame([(d,) for d in local_days(span, zone)], "label string")
+    return days.join(merge(whole, "label", sessions=True), "label", "left").na.fill(0).orderBy("label")
+
+
+def top_events(events: DataFrame, rollups: DataFrame, site: str, span: Span, limit: int) -> DataFrame:
+    rows = merge(collect(events, rollups, site, span, None, ""), "event", sessions=True).withColumnRenamed("event", "label")
+    return rows.orderBy(F.desc("events"), "label").limit(limit)

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from tidewatch.operators import assistants, engagement, rollup, sequence, traffic, visits
-from tidewatch.plans.request import BREAKDOWNS, Authorizer, DenyAll, Refused, Request, checked
+from tidewatch.plans.request import BREAKDOWNS, ROLLED, Authorizer, DenyAll, Refused, Request, checked
 from tidewatch.plans.timerange import Span, plan_hours, previous, visitors_daily
+from tidewatch.schema import PAGEVIEW
 
 
 @dataclass
@@ -44,15 +45,25 @@ class Engine:
         return out
 
     def _rolled(self, r: Request) -> bool:
-        return not r.compare and (r.widget in BREAKDOWNS or r.widget == "breakdownByProperty")
+        return not r.compare and r.widget in ROLLED
+
+    def _audience(self, r: Request) -> DataFrame:
+        if self.rollups is not None:
+            return rollup.audience(self.events, self.rollups, r.site, r.span, PAGEVIEW)
+        return traffic.audience(self.events, r)
 
     def _sections(self, e: DataFrame, r: Request) -> dict[str, DataFrame]:
+        if self.rollups is not None and self._rolled(r):
+            if r.widget in ("pageviewsOverTime", "eventTimeline"):
+                return {"rows": rollup.over_time(e, self.rollups, r.site, r.span, r.timezone, r.event), "audience": self._audience(r)}
+            if r.widget == "topEvents":
+                return {"rows": rollup.top_events(e, self.rollups, r.site, r.span, r.limit), "audience": self._audience(r)}
         match r.widget:
             case "pageviewsOverTime" | "eventTimeline":
                 rows = traffic.compare_timeline(e, r) if r.compare else traffic.over_time(e, r)
-                return {"rows": rows, "audience": traffic.audience(e, r)}
+                return {"rows": rows, "audience": self._audience(r)}
             case "topEvents":
-                return {"rows": traffic.top_events(e, r), "audience": traffic.audience(e, r)}
+                return {"rows": traffic.top_events(e, r), "audience": self._audience(r)}
             case "funnel":
                 return {"rows": sequence.funnel(e, r)}
             case "retention":
@@ -82,7 +93,7 @@ class Engine:
             case "crawlerVisits":
                 return {"bots": assistants.crawl_bots(e, r), "pages": assistants.crawl_pages(e, r), "days": assistants.crawl_days(e, r)}
             case "aiReferrals":
-                return {"rows": assistants.ai_sources(e, r), "landing": assistants.ai_landing(e, r), "days": assistants.ai_days(e, r), "totals": assistants.ai_totals(e, r), "audience": traffic.audience(e, r)}
+                return {"rows": assistants.ai_sources(e, r), "landing": assistants.ai_landing(e, r), "days": assistants.ai_days(e, r), "totals": assistants.ai_totals(e, r), "audience": self._audience(r)}
         dim = r.dimension or BREAKDOWNS.get(r.widget)
         if dim is None:
             raise Refused(f"unknown question {r.widget!r}")

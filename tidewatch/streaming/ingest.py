@@ -53,6 +53,23 @@ def outcomes(requests: DataFrame, s: Settings) -> DataFrame:
     return parsed.withColumn("outcome", F.when(bad, "dropped_invalid").when(F.col("agent.bot"), "dropped_bot").when(unknown | (enrich.url_host(F.col("j.u")) == ""), "dropped_unresolved").otherwise("accepted"))
 
 
+def counted(requests: DataFrame, s: Settings) -> DataFrame:
+    """Requests by outcome; in a stream, :meth:`DataFrame.observe` of the same flags reaches a query's progress."""
+    return outcomes(requests, s).groupBy("outcome").agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(F.size("j.b")), F.lit(0)).alias("events"))
+
+
+def observed(requests: DataFrame, s: Settings, name: str = "ingest") -> DataFrame:
+    """Requests with their outcome, whose counts are metrics of the query that reads them."""
+    kinds = ("accepted", "dropped_bot", "dropped_unresolved", "dropped_invalid")
+    return outcomes(requests, s).observe(name, *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds))
+
+
+def with_sites(requests: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Requests with ``host_site``, looked up by host in a (host, site) table that Spark broadcasts where it is small; '' where unknown. A streaming batch reads the table anew."""
+    host = enrich.request_host(F.get_json_object("body", "$.u"), F.col("origin"), F.col("referer"))
+    return requests.withColumn("host", host).join(dimension.select("host", F.col("site").alias("host_site")), "host", "left").na.fill("", ["host_site"])
+
+
 def to_events(requests: DataFrame, s: Settings, received_ms: Column, salt: Column) -> DataFrame:
     """Canonical events of accepted requests. The i-th named event of a request is stamped i ms after it."""
     ok = outcomes(requests, s).where("outcome = 'accepted'")
