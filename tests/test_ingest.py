@@ -107,3 +107,50 @@ def test_config_refusals():
     for bad in ({"TIDEWATCH_DATA": ""}, {"TIDEWATCH_CHECKPOINT": "/d/"}, {"TIDEWATCH_SECRET": "short"}, {"TIDEWATCH_QUERY_SECRET": "x" * 16}, {"TIDEWATCH_KEEP_DAYS": "-1"}, {"TIDEWATCH_KEEP_DAYS": "x"}):
         with pytest.raises(ValueError):
             from_env({**good, **bad})
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    import re
+
+    from tidewatch.operators import traffic
+    from tidewatch.plans.request import Request, checked
+    from tidewatch.plans.timerange import DAY_MS, Span
+
+    root = str(tmp_path)
+    store.write_batch(ingest.to_events(requests(spark, BATCH), SETTINGS, F.lit(NOW), F.lit(b"x")), root, 0)
+    r = checked(Request("topPages", "shop.example", NOW, NOW + DAY_MS))
+    df = traffic.breakdown(store.raw(spark, root, r.site, Span(r.start, r.end)), r)
+    assert [tuple(x) for x in df.collect()] == [("/pricing", 1, 1), ("/rel/?q=1", 1, 1)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = spark._jvm.PythonSQLUtils.explainString(traffic.breakdown(store.raw(spark, root, r.site, Span(r.start, r.end)), r)._jdf.queryExecution(), "formatted")
+    pushed, columns = re.search(r"PushedFilters: \[(.*?)\]", plan)[1], re.search(r"ReadSchema: struct<(.*?)>", plan)[1]
+    assert "GreaterThanOrEqual(ts_ms" in pushed and "EqualTo(site,shop.example)" in pushed and "EqualTo(event," in pushed
+    assert sorted(c.split(":")[0] for c in columns.split(",")) == ["event", "path", "site", "ts_ms", "visitor"]
+    assert "date" in re.search(r"PartitionFilters: \[(.*?)\]", plan)[1]
+
+
+def test_a_column_that_old_files_lack(spark, tmp_path):
+    from tidewatch.schema import complete
+
+    old = complete(spark.createDataFrame([(1, NOW, "s", "$pageview", "/")], "event_id long, ts_ms long, site string, event string, path string")).drop("doc_h", "variant")
+    old.withColumns({"site_dir": F.lit("s"), "date": F.lit("2026-09-01")}).write.partitionBy("site_dir", "date").parquet(f"{tmp_path}/raw/batch=0")
+    row = store.raw(spark, str(tmp_path), "s").first()
+    assert (row.doc_h, row.variant, row.path) == (0, "", "/")
+
+
+def test_streams_agree_with_tables(spark, sf, tmp_path):
+    from tidewatch.schema import EVENT
+    from tidewatch.sources import adapter
+
+    e = adapter.events(spark, sf)
+    e.repartition(3).write.parquet(str(tmp_path / "e"))
+
+    def run(fn, mode, name):
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+        q = fn(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(180) and q.exception() is None
+        return spark.table(name)
+
+    got = run(ingest.hourly, "complete", "hours")
+    assert sorted(map(tuple, got.select("hour", "site", "event", "events").collect())) == sorted(map(tuple, ingest.hourly(e).select("hour", "site", "event", "events").collect()))
+    assert run(ingest.deduplicated, "append", "once").count() <= e.count()

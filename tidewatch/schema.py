@@ -29,13 +29,20 @@ ROLLUP = T.StructType(
 )
 
 
-def complete(df):
-    """``df`` with every canonical column, missing ones and nulls as '' or 0."""
+#: Columns that every row of the raw tier has, since its first version; reads leave them bare, so that filters on them reach the scan.
+ALWAYS = ("event_id", "ts_ms", "site", "event")
+
+
+def complete(df, bare: tuple[str, ...] = ()):
+    """``df`` with every canonical column, missing ones and nulls as '' or 0; ``bare`` ones as they are."""
     from pyspark.sql import functions as F
 
     have = set(df.columns)
     out = []
     for f in EVENT:
+        if f.name in bare:
+            out.append(F.col(f.name))
+            continue
         empty = F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType)
         out.append((F.coalesce(F.col(f.name).cast(f.dataType), empty) if f.name in have else empty).alias(f.name))
     return df.select(*out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.rollup import build
 from tidewatch.plans.timerange import Span, utc_dates
-from tidewatch.schema import EVENT, ROLLUP, complete
+from tidewatch.schema import ALWAYS, EVENT, ROLLUP, complete
 
 
 def segment(c: Column) -> Column:
@@ -47,7 +47,7 @@ def _read(spark: SparkSession, root: str, tier: str, schema, site: str | None, s
 
 def raw(spark: SparkSession, root: str, site: str | None = None, span: Span | None = None) -> DataFrame:
     """Raw rows; columns that old files lack read as '' or 0."""
-    return complete(_read(spark, root, "raw", EVENT, site, span))
+    return complete(_read(spark, root, "raw", EVENT, site, span), ALWAYS)
 
 
 def rollups(spark: SparkSession, root: str, site: str | None = None, span: Span | None = None) -> DataFrame:
