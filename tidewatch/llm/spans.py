@@ -1,7 +1,7 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
 Every text is cut in sentences (after ``.!?`` before white space, and at line ends; a sentence of more than
-``CHUNK`` words counts as several). A span is a run of at least ``SENTENCES`` consecutive sentences with at least
+``CHUNK`` words counts as several, cut after words of certain hashes and after ``CHUNK`` words). A span is a run of at least ``SENTENCES`` consecutive sentences with at least
 ``WORDS`` words: the shortest such run from each sentence on, and the shortest that ends with each. Spans are hashed
 and joined over all documents; the first one, in the order of doc_id and then of place, stays, and every sentence
 that another one covers is removed.
@@ -18,6 +18,7 @@ pass through.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,9 +43,12 @@ def sentences(data: bytes) -> list[tuple[int, int, int]]:
         n = len(part.split())
         if n > CHUNK:
             marks = [(m.start(), m.end()) for m in _WORD.finditer(part)]
-            for i in range(0, n, CHUNK):
-                j = min(i + CHUNK, n) - 1
-                out.append((at + marks[i][0], at + marks[j][1], j + 1 - i))
+            i = 0
+            for j, (a, b) in enumerate(marks):
+                # Cut after certain words, so that cuts meet again behind a difference.
+                if j + 1 == n or j + 1 - i == CHUNK or zlib.crc32(part[a:b]) % 12 == 0:
+                    out.append((at + marks[i][0], at + b, j + 1 - i))
+                    i = j + 1
         elif n:
             lead = len(part) - len(part.lstrip())
             out.append((at + lead, at + len(part.rstrip()), n))
