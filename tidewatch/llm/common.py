@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -51,12 +55,20 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Gives what this worker has freed back to the system: workers idle on between stages, and their memory adds up."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows as tuples, a few at a time so that long texts aren't all Python objects at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    release()
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048, weigh=None, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -111,3 +123,9 @@ def drop_durable(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Asks for the shuffle files of finished queries to go: Spark removes them once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memory, batches_of, durable, read_table
+from tidewatch.llm.common import Memory, batches_of, durable, read_table, release
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4")
-#: Words of odd form that a worker remembers (up to twice as many), and bytes of text whose words are looked up together.
-MEMORY, CHUNK = 50_000, 8 << 20
+#: Words of odd form that a worker remembers (up to twice as many), bytes of text whose words are looked up together, and words encoded together.
+MEMORY, CHUNK, WORDS = 20_000, 4 << 20, 10_000
 #: Fillings looked at around one piece, and nodes of the whole search.
 WIDTH, NODES = 12, 2_000
 
@@ -67,14 +67,18 @@ class WordTokenizer:
         pieces = letters.cast(pa.int8()).to_numpy(zero_copy_only=False) + 2 * marked.cast(pa.int8()).to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(pieces)
         ids, sizes = np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
-        if len(plain):
-            found = self.ids(" ".join(words.take(pa.array(plain)).to_pylist()))
+        parts, good = [], []
+        for i in range(0, len(plain), WORDS):
+            some = plain[i : i + WORDS]
+            found = self.ids(" ".join(words.take(pa.array(some)).to_pylist()))
             ends = np.flatnonzero(self.ends[found]) + 1
-            last = np.cumsum(pieces[plain].astype(np.int64)) - 1
-            if len(ends) == last[-1] + 1:
-                ids, sizes[plain] = found, np.diff(ends[last], prepend=0)
-            else:
-                plain = plain[:0]
+            last = np.cumsum(pieces[some].astype(np.int64)) - 1
+            if len(ends) == last[-1] + 1:  # else the words are encoded one by one
+                parts.append(found)
+                good.append(some)
+                sizes[some] = np.diff(ends[last], prepend=0)
+        plain = np.concatenate(good) if good else plain[:0]
+        ids = np.concatenate(parts) if parts else ids
         rest = np.setdiff1d(np.arange(len(words)), plain, assume_unique=True)
         if not len(rest):
             return ids, sizes
@@ -94,11 +98,16 @@ class WordTokenizer:
         words = pc.dictionary_encode(split.flatten())
         ids, sizes = self._distinct(pc.cast(words.dictionary, pa.string()))
         at = words.indices.to_numpy(zero_copy_only=False)
-        starts, each = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        offsets = split.offsets.to_numpy()
+        del split, words
+        sizes = sizes.astype(np.int32)
+        each = sizes[at]
         # Place i of a word in the stream is place i of that word among the distinct ones.
         total = np.concatenate([[0], np.cumsum(each)])
-        out = ids[np.repeat(starts - total[:-1], each) + np.arange(total[-1])]
-        return out, np.diff(total[split.offsets.to_numpy()])
+        shift = ((np.cumsum(sizes) - sizes)[at] - total[:-1]).astype(np.int32)
+        where = np.arange(total[-1], dtype=np.int32)
+        where += np.repeat(shift, each)
+        return ids[where], np.diff(total[offsets])
 
 
 _held: dict[str, WordTokenizer] = {}
@@ -122,8 +131,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]
             if weight >= CHUNK:
                 yield _joined(held)
                 held, weight = [], 0
+                release()
     if held:
         yield _joined(held)
+    release()
 
 
 def _joined(parts: list[pa.RecordBatch]) -> tuple[list, pa.Array]:

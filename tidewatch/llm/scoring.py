@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import durable, read_table, rows_of, text_bytes
+from tidewatch.llm.common import durable, read_table, release, rows_of, text_bytes
 
 ORDER = 5
 #: Bytes of text in a block of documents, and words in a block of the vocabulary.
@@ -215,6 +215,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=
         i = right["i"].to_numpy()
         n[i], log[i] = right["n"].to_numpy(), right["log"].to_numpy()
         doc = np.repeat(np.arange(len(ids)), sizes)
+        release()
         add = lambda x: np.bincount(doc, weights=x * times, minlength=len(ids))
         c, lp = n[at], log[at]
         out = {"doc_id": pd.array([None if pd.isna(x) else int(x) for x in ids], dtype="Int64"), "held_out": np.frombuffer(row.held, bool), "n_tokens": add(np.ones(len(at))).astype(np.int64) + 1, "n_known": add(c > 0).astype(np.int64) + (ends > 0), "train_tokens": train_tokens, "base_score": add(base(c)) + base(ends), "score": add(lp) + end_log}
