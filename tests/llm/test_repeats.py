@@ -66,7 +66,7 @@ def test_merged_order_is_that_of_one_sort():
     rows[3] = np.roll(rows[1], 5)
     rows[7:9] = rows[2:4]
     rows = np.unique(rows, axis=0)
-    order, bucket = repeats.merge([repeats.transform(rows[a:b]) for a, b in ((0, 3), (3, 4), (4, len(rows)))])
+    order, bucket = repeats.merged([rows[a:b] for a, b in ((0, 3), (3, 4), (4, len(rows)))])
     rotation = lambda p: np.roll(rows[p // repeats.ROW], -(p % repeats.ROW))[:L].tobytes()
     strings = [rotation(p) for p in order]
     assert strings == sorted(strings) and sorted(order.tolist()) == list(range(rows.size))

@@ -10,8 +10,7 @@ can repeat, and texts without shared anchors are done.
 Comparing. Equal regions are one, with its least document. Regions come together by anchor. Where an anchor has one
 region alone, that is the answer for its windows. All others of a partition are split in shards; a shard sorts its
 rotations and keeps its transform: the bytes before each rotation, in their order. The shards' order is then refined
-into that of all rotations, four bytes a round (two in the last): the bytes before, sorted stably in the order so far,
-give the order by that many bytes more, and only shard numbers move. Where neighbours' bytes or old buckets differ, a
+into that of all rotations, five bytes a round: the bytes before, sorted stably in the order so far, the order by that many bytes more, and only shard numbers move. Where neighbours' bytes or old buckets differ, a
 bucket ends, so that after ``LENGTH`` bytes the buckets are the intervals with a common prefix of that length. The
 least document of an interval decides for the windows in it.
 
@@ -34,21 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import drop_durable, durable, read_table, rows_of, text_bytes
+from tidewatch.llm.common import drop_durable, durable, read_table, release, rows_of, text_bytes, tidy
 
 LENGTH, GRAM = 50, 20
 WIDTH = 2 * LENGTH - GRAM  # bytes of a region
-ROW = WIDTH + 4  # with an end that no round of four bytes can straddle
+ROW = WIDTH + 5  # with an end that no round of five bytes can straddle
 #: Bytes of text in a block, anchors in a partition, and shards of it.
-BLOCK, PART, SHARDS = 8 << 20, 250_000, 4
+BLOCK, PART, SHARDS = 6 << 20, 250_000, 3
 _FIRST = -(1 << 63)
 _NONE = (1 << 63) - 1
 _MIX = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(50).integers(1, 1 << 63, (2, WIDTH), dtype=np.uint64) | np.uint64(1)
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_MIX, n, 1 << 64))
+def _power(n: int) -> np.uint32:
+    return np.uint32(pow(_MIX, n, 1 << 32))
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -65,21 +64,21 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none.astype(np.uint64), none
-    parts, k = {1: data.astype(np.uint64) + np.uint64(1)}, 1
-    while 2 * k <= GRAM:
-        parts[2 * k] = parts[k][: len(parts[k]) - k] * _power(k) + parts[k][k:]
+    # Order of strings: hashes of 1, 2, 4 ... bytes; those whose sizes add up to GRAM are joined on the way, shortest first.
+    h, k, tail, have = data.astype(np.uint32) + np.uint32(1), 1, None, 0
+    while True:
+        if GRAM & k:
+            n = len(data) - have - k + 1
+            tail, have = h[:n].copy() if tail is None else h[:n] * _power(have) + tail[k : k + n], have + k
+        if 2 * k > GRAM:
+            break
+        h = h[: len(h) - k] * _power(k) + h[k:]
         k *= 2
-    h, have = parts[k], k
-    for step in sorted(parts, reverse=True):
-        while have + step <= GRAM:
-            n = len(data) - have - step + 1
-            h = h[:n] * _power(step) + parts[step][have : have + n]
-            have += step
-    del parts
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(_MIX)
-    h ^= h >> np.uint64(32)
-    h |= np.uint64(1)  # 0 is left for windows that don't lie in one document
+    h = tail
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h |= np.uint32(1)  # 0 is left for windows that don't lie in one document
     span = LENGTH - GRAM + 1
     least = _sliding(h, span, np.minimum)
     ends = np.cumsum(sizes)
@@ -89,11 +88,15 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.add.at(inside, starts[full], 1)
     np.add.at(inside, ends[full] - LENGTH + 1, -1)
     least[np.cumsum(inside[: len(least)], dtype=np.int8) == 0] = 0
-    pad = np.zeros(span - 1, np.uint64)
+    pad = np.zeros(span - 1, np.uint32)
     # A place is an anchor if the least of some window around it is its own.
     most = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
     place = np.flatnonzero(most == h)
-    return place, h[place], np.searchsorted(ends, place, side="right")
+    own = np.zeros(len(place), np.uint64)
+    for j in range(GRAM):
+        own = (own + data[place + j]) * np.uint64(_MIX)
+        own ^= own >> np.uint64(32)
+    return place, own, np.searchsorted(ends, place, side="right")
 
 
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """A row a block: its documents, and by partition the hashes of its anchors (40 bits) and whether two of its documents have them."""
+    """A row a block: its documents, and by partition the hashes of its anchors (32 bits) and whether two of its documents have them."""
     schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,7 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
             low, high = np.full(len(distinct), _NONE), np.full(len(distinct), _FIRST)
             np.minimum.at(low, at, ids[doc])
             np.maximum.at(high, at, ids[doc])
-            keys = np.ascontiguousarray((distinct // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            keys = (distinct // np.uint64(parts)).astype("<u4")
             many = low < high
             rows = [{"part": p, "keys": keys[a:b].tobytes(), "many": np.packbits(many[a:b]).tobytes()} for p, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((me << 32 | block, ids.tobytes(), sizes.tobytes(), data, rows), schema, strict=True)], schema=schema)
@@ -141,11 +144,10 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: for each block, which of its hashes another block or two of its documents have."""
-    sizes = [len(k) // 5 for k in pdf["keys"]]
-    keys = np.zeros((sum(sizes), 8), np.uint8)
-    keys[:, :5] = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, 5)
+    sizes = [len(k) // 4 for k in pdf["keys"]]
+    keys = np.frombuffer(b"".join(pdf["keys"]), "<u4")
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["many"], sizes, strict=True)])
-    _, at, times = np.unique(keys.view("<u8").ravel(), return_inverse=True, return_counts=True)
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
     hit = ((times > 1) | (np.bincount(at, weights=many) > 0))[at]
     ends = np.cumsum(sizes)
     bits = [np.packbits(hit[e - n : e]).tobytes() if hit[e - n : e].any() else None for e, n in zip(ends, sizes, strict=True)]
@@ -203,7 +205,7 @@ def _regions(parts: int, digest: bool):
         np.maximum.at(high, of, ids[doc])
         bounds = np.searchsorted((distinct[at[one]] % np.uint64(parts)).astype(np.int64), np.arange(parts + 1))
         rows = [
-            {"part": p, "base": int(a), "hashes": hashes[one[a:b]].tobytes(), "sizes": size[one[a:b]].astype(np.uint8).tobytes(), "bytes": bytes_[one[a:b]].tobytes(), "low": low[a:b].tobytes(), "high": high[a:b].tobytes()}
+            {"part": p, "base": int(a), "hashes": hashes[one[a:b]].tobytes(), "sizes": size[one[a:b]].astype(np.uint8).tobytes(), "places": (place - start)[one[a:b]].astype(np.uint8).tobytes(), "bytes": bytes_[one[a:b]].tobytes(), "low": low[a:b].tobytes(), "high": high[a:b].tobytes()}
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a
         ]
         own = np.flatnonzero(hit)
@@ -212,7 +214,10 @@ def _regions(parts: int, digest: bool):
             "block": row.block, "done_ids": ids[done].tobytes(), "done_sizes": sizes[done].tobytes(), "done_shas": b"".join(shas), "ids": ids[own].tobytes(), "sizes": sizes[own].tobytes(),
             "data": data[np.repeat(hit, sizes)].tobytes(), "region": of.astype(np.int32).tobytes(), "start": (start - shift[doc]).tobytes(), "owner": ids[doc].tobytes(), "parts": rows,
         }
-        return pd.DataFrame({k: [v] for k, v in out.items()})
+        out = pd.DataFrame({k: [v] for k, v in out.items()})
+        del row, data, padded, bytes_, wide, rows
+        release()
+        return out
 
     return work
 
@@ -225,57 +230,71 @@ def _packed(rows: np.ndarray, before: int, count: int) -> np.ndarray:
     return out
 
 
-def transform(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted rotations of equally long rows (as places in them), and the four and the two bytes before each."""
+def transform(rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rotations of equally long rows (as places in them), and the ``step`` bytes before each. Equal rotations have equal bytes before them, so their order doesn't matter."""
     n = rows.size
     rank, k = _packed(rows, 0, 8), 8
-    order = np.argsort(rank.ravel(), kind="stable")
+    order = np.argsort(rank.ravel())
     while True:
         s = rank.ravel()[order]
         new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if n else np.zeros(0, np.int64)
-        rank = np.empty(n, np.uint64)
-        rank[order] = new
         if k >= rows.shape[1] or n and new[-1] == n - 1:
             break
+        rank = np.empty(n, np.uint64)
+        rank[order] = new
         rank = rank.reshape(rows.shape)
         rank = rank << np.uint64(32) | np.roll(rank, -k, axis=1)
-        order = np.argsort(rank.ravel(), kind="stable")
+        order = np.argsort(rank.ravel())
         k *= 2
-    return order, _packed(rows, 4, 4).ravel()[order], _packed(rows, 2, 2).ravel()[order]
-
-
-def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """All rotations (places in all shards' rows, one shard after the other) in order of their first ``length`` bytes, and their buckets: equal where those are."""
-    sizes = [len(s[0]) for s in shards]
-    n = sum(sizes)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    bucket = np.zeros(n, np.int64)
-    key = np.empty(n, np.uint64)
-    at = np.arange(n, dtype=np.uint64)
-    for step in [4] * (length // 4) + [2] * (length % 4 // 2):
-        for i, (_, four, two) in enumerate(shards):
-            key[z == i] = four if step == 4 else two
-        pairs = key << np.uint64(32) | at
+    return order, _packed(rows, step, step).ravel()[order]
+
+
+def merge(shards: list[np.ndarray], rounds: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shards``: the bytes before each of a shard's sorted rotations, ``bits`` of them.
+
+    Place of each rotation in the order by as many bytes as ``rounds`` add up to (of all shards' rotations, one shard
+    after the other), and their buckets: equal where those bytes are.
+    """
+    n = sum(map(len, shards))
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
+    bucket = np.zeros(n, np.int32)
+    room = np.uint64(64 - bits)
+    at, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << (64 - bits)) - 1)
+    shards = [s << room for s in shards]
+    pairs = np.empty(n, np.uint64)
+    for _ in range(rounds):
+        for i, own in enumerate(shards):
+            pairs[z == i] = own
+        pairs |= at
         pairs.sort()
-        source = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        pairs >>= np.uint64(32)
+        source = (pairs & mask).astype(np.int64)
+        pairs >>= room
         z, bucket = z[source], bucket[source]
         if n:
             ends = (pairs[1:] != pairs[:-1]) | (bucket[1:] != bucket[:-1])
-            bucket = np.concatenate([[0], np.cumsum(ends)])
+            bucket = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
     order = np.empty(n, np.int64)
     base = 0
-    for i, (own, *_) in enumerate(shards):
-        order[z == i] = own + base
+    for i, own in enumerate(shards):
+        order[z == i] = np.arange(base, base + len(own))
         base += len(own)
     return order, bucket
 
 
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rotations (places in all parts' rows) by their first ``LENGTH`` bytes, and their buckets. The order of pairs of bytes and places must fit 64 bits: five bytes a round, two where a partition is huge."""
+    step = 5 if sum(p.size for p in parts) < 1 << 24 else 2
+    shards = [transform(p, step) for p in parts]
+    order, bucket = merge([s for _, s in shards], LENGTH // step, 8 * step)
+    base = np.cumsum([0, *(p.size for p in parts[:-1])])
+    return np.concatenate([o + b for (o, _), b in zip(shards, base, strict=True)])[order], bucket
+
+
 def window_owners(rows: np.ndarray, sizes: np.ndarray, low: np.ndarray, shards: int = SHARDS) -> np.ndarray:
     """Least document that has each window of each region, as a matrix; none where a window doesn't fit."""
     windows = WIDTH - LENGTH + 1
     cuts = np.linspace(0, len(rows), min(shards, max(len(rows), 1)) + 1).astype(int)
-    order, bucket = merge([transform(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    order, bucket = merged([rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     region, at = order // ROW, order % ROW
     own = np.where(at <= sizes[region] - LENGTH, low[region], _NONE)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -285,10 +304,32 @@ def window_owners(rows: np.ndarray, sizes: np.ndarray, low: np.ndarray, shards:
     return out[:, :windows]
 
 
+def _alike(bytes_: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether another region of the same anchor has the same half of what a window can have beside it, before or after.
+
+    A window that two regions share reaches ``LENGTH - GRAM`` bytes beside the anchor, so half of them on one side.
+    """
+    half = (LENGTH - GRAM) // 2
+    out = np.zeros(len(bytes_), bool)
+    for shift in (-half, GRAM):
+        own = group.astype(np.uint64)
+        inside = place + shift >= 0
+        at = np.where(inside, place + shift, 0)
+        rows = np.arange(len(bytes_))
+        for j in range(half):
+            own = (own + bytes_[rows, at + j]) * np.uint64(_MIX)
+            own ^= own >> np.uint64(32)
+        # Too near to the start of a document for half of a window: nothing to go by on this side.
+        own[~inside] = rows[~inside].astype(np.uint64)
+        _, where, times = np.unique(own, return_inverse=True, return_counts=True)
+        out |= (times[where] > 1) & inside
+    return out
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: for each block, the runs of windows (region, first, last, least document) that a smaller document may have."""
     join = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
-    hashes, sizes, low, high = join("hashes", np.uint64), join("sizes", np.uint8).astype(np.int64), join("low", np.int64), join("high", np.int64)
+    hashes, sizes, place, low, high = join("hashes", np.uint64), join("sizes", np.uint8).astype(np.int64), join("places", np.uint8).astype(np.int64), join("low", np.int64), join("high", np.int64)
     bytes_ = join("bytes", np.uint8).reshape(-1, WIDTH)
     counts = np.array([len(s) for s in pdf["sizes"]])
     # Equal regions of all blocks are one.
@@ -308,6 +349,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(least, of, low)
     group = np.cumsum(anchor)[fresh] - 1
     several = np.bincount(group)[group] > 1
+    several[several] = _alike(bytes_[one[several]], place[one[several]], group[several])
     windows = WIDTH - LENGTH + 1
     owners = np.where(np.arange(windows)[None, :] <= (sizes[one] - LENGTH)[:, None], least[:, None], _NONE)
     pick = np.flatnonzero(several)
@@ -332,6 +374,8 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         s = slice(cut[i], cut[i + 1])
         if cut[i + 1] > cut[i]:
             out.append((block, (r[s] - (ends[i] - counts[i]) + base).astype(np.int32).tobytes(), a[s].astype(np.uint8).tobytes(), b[s].astype(np.uint8).tobytes(), m[s].tobytes()))
+    del bytes_, wide, owners, mine, take, edge, stop
+    release()
     return pd.DataFrame(out, columns=["by", "region", "a", "b", "owner"])
 
 
@@ -370,6 +414,8 @@ def _finish(digest: bool):
             out["kept_sha256"] = [hashlib.sha256(k).hexdigest() for k in kept] + [row.done_shas[i : i + 32].hex() for i in range(0, len(row.done_shas), 32)]
         else:
             out["kept"] = kept
+        del row, data, marks, gone, total, rise, spans
+        release()
         return pd.DataFrame(out)
 
     return work
@@ -383,11 +429,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest:
     blocks = durable(_blocks(docs, parts), "blocks")
     hashes = blocks.select("block", F.explode("parts").alias("x")).select("block", "x.*")
     bits = durable(hashes.groupBy("part").applyInPandas(_shared, "by long, part int, bits binary"), "shared")
-    piece = "array<struct<part: int, base: int, hashes: binary, sizes: binary, bytes: binary, low: binary, high: binary>>"
+    del hashes
+    tidy(df.sparkSession)
+    piece = "array<struct<part: int, base: int, hashes: binary, sizes: binary, places: binary, bytes: binary, low: binary, high: binary>>"
     schema = f"block long, done_ids binary, done_sizes binary, done_shas binary, ids binary, sizes binary, data binary, region binary, start binary, owner binary, parts {piece}"
     regions = durable(blocks.select("block", "ids", "sizes", "data").groupBy("block").cogroup(bits.groupBy("by")).applyInPandas(_regions(parts, digest), schema), "regions")
     drop_durable(blocks)
     drop_durable(bits)
+    del blocks, bits
+    tidy(df.sparkSession)
     pieces = regions.select("block", F.explode("parts").alias("x")).select("block", "x.*")
     runs = durable(pieces.groupBy("part").applyInPandas(_compare, "by long, region binary, a binary, b binary, owner binary"), "runs")
     kind = "kept_sha256 string" if digest else "kept binary"
