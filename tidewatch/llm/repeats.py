@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,15 @@ _MIX = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(50).integers(1, 1 << 63, (2, WIDTH), dtype=np.uint64) | np.uint64(1)
 
 
+def _pack(data) -> bytes:
+    """Compressed: texts cross shuffles, whose own compression hardly shortens them."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _power(n: int) -> np.uint32:
     return np.uint32(pow(_MIX, n, 1 << 32))
 
@@ -128,7 +138,7 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
             keys = (distinct // np.uint64(parts)).astype("<u4")
             many = low < high
             rows = [{"part": p, "keys": keys[a:b].tobytes(), "many": np.packbits(many[a:b]).tobytes()} for p, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((me << 32 | block, ids.tobytes(), sizes.tobytes(), data, rows), schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((me << 32 | block, ids.tobytes(), sizes.tobytes(), _pack(data), rows), schema, strict=True)], schema=schema)
 
         for doc, data in rows_of(batches, "_id", "_data"):
             held.append((doc, data))
@@ -159,7 +169,7 @@ def _regions(parts: int, digest: bool):
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         (row,) = left.itertuples(index=False)
-        ids, sizes, data = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(row.data, np.uint8)
+        ids, sizes, data = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(_unpack(row.data), np.uint8)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         place, hashes, doc = anchors(data, sizes)
@@ -205,14 +215,14 @@ def _regions(parts: int, digest: bool):
         np.maximum.at(high, of, ids[doc])
         bounds = np.searchsorted((distinct[at[one]] % np.uint64(parts)).astype(np.int64), np.arange(parts + 1))
         rows = [
-            {"part": p, "base": int(a), "hashes": hashes[one[a:b]].tobytes(), "sizes": size[one[a:b]].astype(np.uint8).tobytes(), "places": (place - start)[one[a:b]].astype(np.uint8).tobytes(), "bytes": bytes_[one[a:b]].tobytes(), "low": low[a:b].tobytes(), "high": high[a:b].tobytes()}
+            {"part": p, "base": int(a), "hashes": hashes[one[a:b]].tobytes(), "sizes": size[one[a:b]].astype(np.uint8).tobytes(), "places": (place - start)[one[a:b]].astype(np.uint8).tobytes(), "bytes": _pack(bytes_[one[a:b]].tobytes()), "low": _pack(low[a:b].tobytes()), "high": _pack(high[a:b].tobytes())}
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a
         ]
         own = np.flatnonzero(hit)
         shift = starts - (np.cumsum(np.where(hit, sizes, 0)) - np.where(hit, sizes, 0))
         out = {
             "block": row.block, "done_ids": ids[done].tobytes(), "done_sizes": sizes[done].tobytes(), "done_shas": b"".join(shas), "ids": ids[own].tobytes(), "sizes": sizes[own].tobytes(),
-            "data": data[np.repeat(hit, sizes)].tobytes(), "region": of.astype(np.int32).tobytes(), "start": (start - shift[doc]).tobytes(), "owner": ids[doc].tobytes(), "parts": rows,
+            "data": _pack(data[np.repeat(hit, sizes)].tobytes()), "region": _pack(of.astype(np.int32).tobytes()), "start": _pack((start - shift[doc]).tobytes()), "owner": _pack(ids[doc].tobytes()), "parts": rows,
         }
         out = pd.DataFrame({k: [v] for k, v in out.items()})
         del row, data, padded, bytes_, wide, rows
@@ -328,7 +338,8 @@ def _alike(bytes_: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarr
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: for each block, the runs of windows (region, first, last, least document) that a smaller document may have."""
-    join = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
+    packed = ("bytes", "low", "high")
+    join = lambda name, kind: np.frombuffer(b"".join(map(_unpack, pdf[name]) if name in packed else pdf[name]), kind)
     hashes, sizes, place, low, high = join("hashes", np.uint64), join("sizes", np.uint8).astype(np.int64), join("places", np.uint8).astype(np.int64), join("low", np.int64), join("high", np.int64)
     bytes_ = join("bytes", np.uint8).reshape(-1, WIDTH)
     counts = np.array([len(s) for s in pdf["sizes"]])
@@ -382,8 +393,8 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
 def _finish(digest: bool):
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         (row,) = left.itertuples(index=False)
-        ids, sizes, data = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(row.data, np.uint8)
-        region, start, owner = np.frombuffer(row.region, np.int32), np.frombuffer(row.start, np.int64), np.frombuffer(row.owner, np.int64)
+        ids, sizes, data = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(_unpack(row.data), np.uint8)
+        region, start, owner = np.frombuffer(_unpack(row.region), np.int32), np.frombuffer(_unpack(row.start), np.int64), np.frombuffer(_unpack(row.owner), np.int64)
         order = np.argsort(region, kind="stable")
         first = np.searchsorted(region[order], np.arange(int(region.max()) + 2 if len(region) else 1))
         marks = np.zeros(len(data) + 1, np.int32)
