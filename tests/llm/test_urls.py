@@ -47,6 +47,17 @@ def test_held_out_accuracy(spark):
     assert np.mean([(r.score > 0) == (r.label == 1) for r in rows]) > 0.97
 
 
+def test_no_single_sign_decides(spark):
+    labelled = urls.labelled()
+    hyphen = {spam: np.mean(["-" in u.split("/")[2] for u, y in labelled if y == spam]) for spam in (0, 1)}
+    assert 0 < hyphen[0] < 1 and 0 < hyphen[1] < 1
+    trees = urls.train(urls.labelled_urls(spark))
+    assert len({int(f) for f in trees.feature if f >= 0}) >= 6
+    names = ["http://my-garden.example.com/en/7", "http://garden7731qxzvbnmkjhgfdsw.river.notes.museum.xyz/en/7?id=1&ref=2&page=3&src=4&q=5"]
+    df = spark.createDataFrame([(u,) for u in names], "url string")
+    assert {r.url: r.verdict for r in urls.judge(df, trees).collect()} == dict(zip(names, ["allow", "block"]))
+
+
 def test_sql_oracle(spark):
     from tests import oracle
     from tidewatch.llm import entry

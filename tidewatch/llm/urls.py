@@ -63,20 +63,27 @@ def feature_sql(host: str = "host", path: str = "path", url: str = "url") -> dic
 
 
 def labelled(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """(url, label): 1 for spam. Made from a rule over a few words; replace by own labels where there are any."""
-    # Fixed words of the rule: bait in spam hosts, plain words in others.
-    bait = ["casino", "cheap", "pills", "free", "bets", "spam", "farm", "ads", "track", "win", "loan", "click", "bonus", "deal"]
-    plain = ["garden", "river", "thing", "ration", "weather", "notes", "museum", "there", "lytion", "station", "ening", "hatre", "ora", "kitchen"]
+    """(url, label): 1 for spam. Made from a rule over a few words; replace by own labels where there are any.
+
+    Every sign is in both classes. Spam has at least three of hyphens, digits, a long random label, a rare suffix,
+    deep hosts and many parameters; other URLs have one at most.
+    """
+    # Fixed words of the rule, in hosts of both classes.
+    words = ["garden", "river", "cheap", "thing", "free", "weather", "notes", "museum", "track", "win", "station", "click", "deal", "kitchen"]
     r, out = random.Random(seed), []
     for _ in range(n):
         spam = r.random() < 0.33
-        name = "-".join(r.sample(bait, 2)) if spam else r.choice(plain) + r.choice(["", *plain])
-        # Digits and hyphens are rare in plain hosts but there, so that no single sign decides.
-        if spam and r.random() < 0.3 or not spam and r.random() < 0.1:
-            name += str(r.randrange(999))
-        host = r.choice(["", "", "www.", "blog.", "m."]) + name + r.choice([".example", ".sample", ""]) + r.choice([".com", ".org", ".net"])
-        tail = r.choice(["", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"])
-        out.append((f"{r.choice(['http', 'https'])}://{host}/{r.choice(['en', 'de', 'fr', 'es'])}/{r.randrange(1000)}{tail}", int(spam)))
+        signs = set(r.sample(range(6), r.choice([3, 4]) if spam else r.choice([0, 0, 1])))
+        name = ("-" if 0 in signs else "").join(r.sample(words, r.choice([2, 3]) if 0 in signs else r.choice([1, 2])))
+        if 1 in signs:
+            name += str(r.randrange(1000, 1_000_000))
+        if 2 in signs:
+            name += "".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(r.randint(14, 20)))
+        suffix = r.choice([".info", ".click", ".top", ".xyz"] if 3 in signs else [".com", ".org", ".net"])
+        deep = ".".join(r.sample(words, 3)) + "." if 4 in signs else r.choice(["", "", "www.", "blog.", "m."])
+        query = "&".join(f"{k}={r.randrange(100)}" for k in r.sample(["id", "ref", "page", "src", "aff", "sub", "cid", "q"], r.randint(4, 6) if 5 in signs else r.choice([0, 0, 1])))
+        tail = r.choice(["", "/", ".html"]) + (f"?{query}" if query else r.choice(["", "#top"]))
+        out.append((f"{r.choice(['http', 'https'])}://{deep}{name}{suffix}/{r.choice(['en', 'de', 'fr', 'es'])}/{r.randrange(1000)}{tail}", int(spam)))
     return out
 
 
