@@ -47,6 +47,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([(r.score > 0) == (r.label == 1) for r in rows]) > 0.97
 
 
+def test_the_longest_label_is_over_all(spark):
+    import duckdb
+
+    hosts = ["a.b.c.verylonglabel.com", "", "www.example.com", "..", "one"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert [r[0] for r in df.selectExpr(urls.feature_sql()["longest_label"]).collect()] == [13, 0, 7, 0, 3]
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {urls.feature_sql(duckdb=True)['longest_label']} FROM (SELECT ? AS host)", [h]).fetchone()[0] for h in hosts] == [13, 0, 7, 0, 3]
+
+
 def test_no_single_sign_decides(spark):
     labelled = urls.labelled()
     hyphen = {spam: np.mean(["-" in u.split("/")[2] for u, y in labelled if y == spam]) for spam in (0, 1)}

@@ -1,6 +1,6 @@
 """Operator 10 (native): URL filter rules, then gradient-boosted trees on lexical features of the host and path.
 
-Features are integer SQL expressions that read the same in Spark and DuckDB; the trees, fitted on the driver from a
+Features are integer SQL expressions that read the same in Spark and DuckDB (all but one, on lists); the trees, fitted on the driver from a
 bounded table of labelled URLs, become CASE expressions. Nothing but DataFrame operations runs on executors.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the trees'
@@ -39,7 +39,7 @@ def _without(s: str, letters: str) -> str:
     return f"(length({s}) - length(translate({s}, '{letters}', '')))"
 
 
-def feature_sql(host: str = "host", path: str = "path", url: str = "url") -> dict[str, str]:
+def feature_sql(host: str = "host", path: str = "path", url: str = "url", duckdb: bool = False) -> dict[str, str]:
     """Integer features: rates in thousandths, entropy in thousandths of a nat."""
     size = f"greatest(length({host}), 1)"
     times = {c: f"(length({host}) - length(replace({host}, '{c}', '')))" for c in _LETTERS}
@@ -58,7 +58,7 @@ def feature_sql(host: str = "host", path: str = "path", url: str = "url") -> dic
         "parameters": f"coalesce(length({url}) - length(translate({url}, '=', '')), 0)",
         "suffix_length": f"length({suffix})",
         "suffix_rare": f"CASE WHEN {suffix} IN ('com', 'org', 'net', 'edu', 'gov') THEN 0 ELSE 1 END",
-        "longest_label": f"greatest(length(split_part({host}, '.', 1)), length(split_part({host}, '.', 2)), length(split_part({host}, '.', 3)))",
+        "longest_label": f"list_max([length(x) for x in string_split({host}, '.')])" if duckdb else f"array_max(transform(split({host}, '[.]'), x -> length(x)))",
     }
 
 
@@ -133,7 +133,7 @@ def oracle_sql() -> str:
     import duckdb
 
     host, path = split_sql()
-    features = feature_sql()
+    features = feature_sql(duckdb=True)
     columns = ", ".join(f"CAST({e} AS BIGINT) AS _{n}" for n, e in features.items())
     parts = lambda table: f"(SELECT *, {path} AS path FROM (SELECT *, {host} AS host FROM {table}))"
     con = duckdb.connect()
