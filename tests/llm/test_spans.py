@@ -51,6 +51,20 @@ def test_long_sentences_are_runs_too():
     assert later <= {shifted[a:b] for a, b, _ in spans.sentences(shifted)}
 
 
+def test_any_51_common_words_hold_a_span():
+    """Passages glued into sentences of any length, against brute force over windows of 50 words."""
+    for seed in range(200):
+        sentence = (4, 9, 25, 10_000)[seed % 4]
+        passage = cases.prose(5000 + seed, 51, sentence).rstrip(".").lower()
+        first, second = (f"{cases.prose(k, 30, 10_000).rstrip('.')} {passage} {cases.prose(k + 1, 30, 10_000).lower()}" for k in (9000 + 4 * seed, 9002 + 4 * seed))
+        windows = [{tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)} for t in (first, second)]
+        assert windows[0] & windows[1]
+        seen = set(spans.spans(first.encode(), spans.sentences(first.encode())))
+        left, _, removed = spans.strip(second.encode(), seen)
+        words = sum(len(second.encode()[a:b].split()) for a, b in removed)
+        assert 23 <= words <= 51, seed
+
+
 def test_repeats_inside_a_text_and_columns(spark):
     df = cases.documents(spark, [(1, PASSAGE + " " + PASSAGE)]).withColumnRenamed("lang", "_spans")
     out = spans.dedup(df).collect()

@@ -1,7 +1,8 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
-Every text is cut in sentences (after ``.!?`` before white space, and at line ends; a sentence of more than
-``CHUNK`` words counts as several, cut after words of certain hashes and after ``CHUNK`` words). A span is a run of at least ``SENTENCES`` consecutive sentences with at least
+Every text is cut in sentences (after ``.!?`` before white space, and at line ends), and every sentence after the word
+of least hash of each ``CHUNK`` consecutive words in it, so that pieces have at most ``CHUNK`` words and words that two
+texts share are cut alike ``CHUNK`` words from their ends on: 51 of them always hold a span. A span is a run of at least ``SENTENCES`` consecutive sentences with at least
 ``WORDS`` words: the shortest such run from each sentence on, and the shortest that ends with each. Spans are hashed
 and joined over all documents; the first one, in the order of doc_id and then of place, stays, and every sentence
 that another one covers is removed.
@@ -21,37 +22,49 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import batches_of, durable, read_table, rows_of, text_bytes
+from tidewatch.llm.common import Memory, batches_of, durable, read_table, rows_of, text_bytes
 
-SENTENCES, WORDS, CHUNK = 2, 16, 32
+SENTENCES, WORDS, CHUNK = 2, 16, 8
 _FIRST = -(1 << 63)
 _END = re.compile(rb"(?:(?<=[.!?])[ \t\x0b\x0c]+|[ \t\x0b\x0c]*[\r\n][ \t\r\n\x0b\x0c]*)")
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
+_hashes = Memory(zlib.crc32, 80_000)
+
+
+def _cuts(words: list[bytes]) -> list[int]:
+    """Words of a sentence after which it is cut: the least of each ``CHUNK`` in a row, of equal ones the last."""
+    if len(words) < CHUNK:
+        return []
+    h = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))[::-1]
+    least = np.lib.stride_tricks.sliding_window_view(h, CHUNK).argmin(1)
+    return np.unique(len(words) - 1 - np.arange(len(least)) - least).tolist()
+
+
 def sentences(data: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence; ends exclude the white space after it."""
+    """(start, end, words) of each piece of a sentence; ends exclude the white space after it."""
     out = []
     at = 0
     for start, end in [*((m.start(), m.end()) for m in _END.finditer(data)), (len(data), len(data))]:
         part = data[at:start]
-        n = len(part.split())
-        if n > CHUNK:
-            marks = [(m.start(), m.end()) for m in _WORD.finditer(part)]
+        words = part.split()
+        cuts = _cuts(words)
+        if cuts:
+            marks = [m.span() for m in _WORD.finditer(part)]
             i = 0
-            for j, (a, b) in enumerate(marks):
-                # Cut after certain words, so that cuts meet again behind a difference.
-                if j + 1 == n or j + 1 - i == CHUNK or zlib.crc32(part[a:b]) % 12 == 0:
-                    out.append((at + marks[i][0], at + b, j + 1 - i))
-                    i = j + 1
-        elif n:
+            for j in cuts if cuts[-1] == len(words) - 1 else [*cuts, len(words) - 1]:
+                out.append((at + marks[i][0], at + marks[j][1], j + 1 - i))
+                i = j + 1
+        elif words:
             lead = len(part) - len(part.lstrip())
-            out.append((at + lead, at + len(part.rstrip()), n))
+            out.append((at + lead, at + len(part.rstrip()), len(words)))
         at = end
     return out
 
