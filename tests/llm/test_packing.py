@@ -13,7 +13,6 @@ from tidewatch.llm import packing
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 OWN = packing.WordTokenizer(PATH)
 
 
@@ -30,10 +29,24 @@ def test_tokenizer_is_the_library(texts):
 
 
 def test_words_of_odd_form():
-    for t in ("İstanbul ﬁne Straße", "THE!! %%% | -", "don't 'tis A.B C,.", "Ⅷ ª º ²½", "<|endoftext|> a</w> b", "日本語 тест"):
+    for t in ("İstanbul ﬁne Straße", "THE!! %%% | -", "don't 'tis A.B C,.", "Ⅷ ª º ²½", "<|endoftext|> a</w> b", "日本語 тест", "<|endoftext|> a", "a<|endoftext|>b <|startoftext|>. <|ENDOFTEXT|>", "Über! ÜBER! über", "ȺȾ ǅ ſ ŉ"):
         assert OWN.encode_all(pa.array([t]))[0].tolist() == plain(t)
 
 
+def test_memory_starts_afresh():
+    small = packing.WordTokenizer(PATH, 2000)
+    for i in range(5):
+        texts = [cases.prose(i, 200), "x" * 5000, ""]
+        ids, sizes = small.encode_all(pa.array(texts))
+        assert sizes.tolist() == [len(plain(t)) for t in texts] and ids.tolist() == [i for t in texts for i in plain(t)]
+    assert len(small.known) < 400
+
+
+def test_dominance():
+    assert packing.dominates((6, 4), (6, 3)) and packing.dominates((10,), (6, 4)) and packing.dominates((5, 5), (3, 2, 5))
+    assert not packing.dominates((6, 4), (5, 5)) and not packing.dominates((5, 4), (6,))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 6), max_size=12))
 def test_fillings_hold_every_piece_once(histogram):
@@ -78,7 +91,7 @@ def exact(histogram, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(2, 14), st.integers(1, 2), min_size=1, max_size=5))
 def test_as_few_as_can_be_on_small_cases(histogram):
-    assert sum(n for _, n in packing.complete(histogram, 15)) <= exact(histogram, 15) + (sum(histogram.values()) > 8)
+    assert sum(n for _, n in packing.complete(histogram, 15)) == exact(histogram, 15)
 
 
 def check(got, rows, capacity):

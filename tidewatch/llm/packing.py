@@ -2,10 +2,13 @@
 
 Pieces of one length are interchangeable, so a packing is decided by the histogram of lengths: at most ``capacity``
 counts, whatever the corpus. The driver searches on that histogram alone (branch and bound over undominated fillings
-around the largest piece left, pruned by the waste the incumbent leaves over; best fit gives the first incumbent) and
+around the largest piece left, pruned by the waste the incumbent leaves over; best fit gives the first incumbent;
+the search is limited, ``WIDTH``, ``NODES`` and ``EACH``, as the problem is hard) and
 gets a table of fillings with multiplicities. Pieces are then placed in parallel: a piece's place among those of its
 length, which needs only counts per (partition, length), picks its sequence and offset by binary search.
 
+Ids are those of the library called plainly: the strings of its special tokens become those tokens.
+
 Defined results: a null or empty text is the single end id; texts longer than ``capacity`` tokens are cut in full
 pieces and a rest; repeated rows, and rows with equal or null ids, are packed each by itself; extra columns are not
 read; an empty table gives an empty result.
@@ -14,6 +17,7 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,91 +27,102 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memory, batches_of, durable, read_table, release
+from tidewatch.llm.common import batches_of, durable, read_table, release
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4")
-#: Words of odd form that a worker remembers (up to twice as many), bytes of text whose words are looked up together, and words encoded together.
-MEMORY, CHUNK, WORDS = 20_000, 4 << 20, 10_000
-#: Fillings looked at around one piece, and nodes of the whole search.
-WIDTH, NODES = 12, 2_000
+#: Bytes of remembered words and their ids at which a worker starts afresh, bytes of text whose words are looked up together, and words encoded together.
+MEMORY, CHUNK, WORDS = 64 << 20, 4 << 20, 10_000
+#: Limits of the search: fillings looked at around one piece, and nodes in all (or so many for each distinct length, if that is more).
+WIDTH, NODES, EACH = 12, 20_000, 20
 
 
 #: Words of Latin letters, of which each is one piece for the splitting pattern, with or without marks, which are one too.
 _LETTERS = "[a-zA-Z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{132}-\\x{24f}]+"
-_MARKS = "[!-&(-/:-@\\[-`{-~]+"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x132, 0x250))))
 
 
 class WordTokenizer:
     """Texts to ids, by their distinct words.
 
     The vocabulary drops white space and its splitting pattern crosses none, so the ids of a text are those of its
-    words (between ASCII white space; any other is left to the library), one after the other. Distinct words of plain
-    form are encoded in one call: the last id of a piece, and no other, is that of a token with the word-end suffix,
-    and their form tells how many pieces they are.
+    words (between ASCII white space; any other is left to the library), one after the other. A word of plain form is
+    two strings with ids of their own, its letters in lower case and the marks after them; any other is one string.
+    New strings of letters are encoded in one call: the last id of each, and no other, is that of a token with the
+    word-end suffix. ``flat`` has the ids of all strings known, ``begin`` and ``size`` where each has its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.memory = Memory(self.ids, MEMORY)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memory = memory
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.begin, self.size, self.bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each has."""
-        letters = pc.match_substring_regex(words, f"^{_LETTERS}$")
-        marked = pc.match_substring_regex(words, f"^{_LETTERS}{_MARKS}$")
-        pieces = letters.cast(pa.int8()).to_numpy(zero_copy_only=False) + 2 * marked.cast(pa.int8()).to_numpy(zero_copy_only=False)
-        plain = np.flatnonzero(pieces)
-        ids, sizes = np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
-        parts, good = [], []
-        for i in range(0, len(plain), WORDS):
-            some = plain[i : i + WORDS]
-            found = self.ids(" ".join(words.take(pa.array(some)).to_pylist()))
-            ends = np.flatnonzero(self.ends[found]) + 1
-            last = np.cumsum(pieces[some].astype(np.int64)) - 1
-            if len(ends) == last[-1] + 1:  # else the words are encoded one by one
+    def _learn(self, strings: list[str], letters: bool) -> None:
+        parts, sizes = [], []
+        for i in range(0, len(strings), WORDS):
+            some = strings[i : i + WORDS]
+            if letters:
+                found = self.ids(" ".join(some))
+                ends = np.flatnonzero(self.ends[found]) + 1
+            if letters and len(ends) == len(some):  # else they are encoded one by one
                 parts.append(found)
-                good.append(some)
-                sizes[some] = np.diff(ends[last], prepend=0)
-        plain = np.concatenate(good) if good else plain[:0]
-        ids = np.concatenate(parts) if parts else ids
-        rest = np.setdiff1d(np.arange(len(words)), plain, assume_unique=True)
-        if not len(rest):
-            return ids, sizes
-        own = [self.memory[w] for w in words.take(pa.array(rest)).to_pylist()]
-        sizes[rest] = list(map(len, own))
-        out = np.zeros(sizes.sum(), "<u4")
-        others = np.zeros(len(words), bool)
-        others[rest] = True
-        where = np.repeat(others, sizes)
-        out[where] = np.concatenate(own)
-        out[~where] = ids
-        return out, sizes
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                each = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                parts += [np.array(e, "<u4") for e in each]
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        if not strings:
+            return
+        self.known.update(zip(strings, range(len(self.size), len(self.size) + len(strings)), strict=True))
+        size = np.concatenate([self.size, *sizes])
+        self.flat, self.size, self.begin = np.concatenate([self.flat, *parts]), size, np.cumsum(size) - size
+        self.bytes += sum(map(len, strings)) + 120 * len(strings) + 4 * sum(map(len, parts))
+
+    def _places(self, strings: pa.Array, letters: bool) -> np.ndarray:
+        """Where each string is among those known."""
+        kinds = pc.dictionary_encode(strings)
+        distinct = kinds.dictionary.to_pylist()
+        self._learn([x for x in distinct if x not in self.known], letters)
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[kinds.indices.to_numpy(zero_copy_only=False)]
+
+    def _distinct(self, words: pa.Array) -> np.ndarray:
+        """The two strings of each word; the second is often empty."""
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, f"^{_LETTERS}$")
+        own = plain.to_numpy(zero_copy_only=False)
+        out = np.zeros((len(words), 2), np.int64)
+        out[own, 0] = self._places(pc.utf8_lower(stems.filter(plain)), True)
+        out[own, 1] = self._places(pc.utf8_ltrim(words.filter(plain), characters=_LATIN), False)
+        out[~own, 0] = self._places(words.filter(pc.invert(plain)), False)
+        return out
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
+        if self.bytes > self.memory:
+            self.forget()
         split = pc.ascii_split_whitespace(texts)
         words = pc.dictionary_encode(split.flatten())
-        ids, sizes = self._distinct(pc.cast(words.dictionary, pa.string()))
-        at = words.indices.to_numpy(zero_copy_only=False)
+        strings = self._distinct(pc.cast(words.dictionary, pa.string()))[words.indices.to_numpy(zero_copy_only=False)].ravel()
         offsets = split.offsets.to_numpy()
         del split, words
-        sizes = sizes.astype(np.int32)
-        each = sizes[at]
-        # Place i of a word in the stream is place i of that word among the distinct ones.
+        each = self.size[strings]
         total = np.concatenate([[0], np.cumsum(each)])
-        shift = ((np.cumsum(sizes) - sizes)[at] - total[:-1]).astype(np.int32)
-        where = np.arange(total[-1], dtype=np.int32)
-        where += np.repeat(shift, each)
-        return ids[where], np.diff(total[offsets])
+        where = np.repeat(self.begin[strings] - total[:-1], each)
+        where += np.arange(total[-1])
+        return self.flat[where], np.diff(total[2 * offsets])
 
 
 _held: dict[str, WordTokenizer] = {}
@@ -142,9 +157,27 @@ def _joined(parts: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
     return whole["doc_id"].to_pylist(), pa.concat_arrays(whole["text"].chunks)
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ``token_ids`` (binary, little-endian unsigned 32-bit), the end id included."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary())])
+def _labelled(batches: Iterator[pa.RecordBatch], capacity: int, name: str = "length") -> Iterator[pa.RecordBatch]:
+    """Each row with its partition (``_part``) and its place there among rows of its length (``_place``)."""
+    reached = np.zeros(capacity + 1, np.int64)
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        length = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        place = np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        kinds, first, n = np.unique(length[order], return_index=True, return_counts=True)
+        place[order] = np.arange(len(length)) - np.repeat(first, n) + np.repeat(reached[kinds], n)
+        reached[kinds] += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(place)], schema=pa.schema([*batch.schema, ("_part", pa.int32()), ("_place", pa.int64())]))
+
+
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ``token_ids`` (binary, little-endian unsigned 32-bit), the end id included.
+
+    With ``digest`` their ``ids_crc32`` instead of the ids, and what :func:`pack` needs to know of a row's place.
+    """
+    last = ("ids_crc32", pa.int64()) if digest else ("token_ids", pa.binary())
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), last])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -157,11 +190,27 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
                     own = np.append(ids[a:b], END)
                     for i, at in enumerate(range(0, len(own), capacity)):
                         part = own[at : at + capacity]
-                        yield doc, i, at, len(part), part.tobytes()
+                        yield doc, i, at, len(part), zlib.crc32(part) if digest else part.tobytes()
 
-        yield from batches_of(rows(), schema, weigh=lambda r: len(r[4]))
+        found = batches_of(rows(), schema, weigh=None if digest else lambda r: len(r[4]))
+        yield from _labelled(found, capacity) if digest else found
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, token_ids binary")
+    ddl = "doc_id long, piece int, start long, length long, " + ("ids_crc32 long, _part int, _place long" if digest else "token_ids binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, ddl)
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b`` fit in rooms as large as the pieces of ``a``: then ``a`` leaves no worse a rest.
+
+    Tried by best fit, largest first: what it says is dominated is so, and some dominated fillings may stay.
+    """
+    rooms = sorted(a)
+    for piece in sorted(b, reverse=True):
+        i = bisect.bisect_left(rooms, piece)
+        if i == len(rooms):
+            return False
+        bisect.insort(rooms, rooms.pop(i) - piece)
+    return True
 
 
 def fillings(counts: list[int], present: list[int], room: int, width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:
@@ -201,12 +250,19 @@ def fillings(counts: list[int], present: list[int], room: int, width: int = WIDT
                 out.append((space, taken))
 
     extend(room, room, ())
-    best = sorted(set(out), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
-    return best[:width] or [(room, ())]
+    best: list[tuple[int, tuple[int, ...]]] = []
+    for waste, bag in sorted(set(out), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1]))):
+        if len(best) < width and not any(dominates(other, bag) for _, other in best):
+            best.append((waste, bag))
+    return best or [(room, ())]
 
 
 def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, descending) and how many sequences have each; as few sequences as the search finds."""
+    """Fillings (lengths, descending) and how many sequences have each; as few sequences as the search finds.
+
+    It ends at the lower bound, when no node is left, or after ``nodes`` nodes (``EACH`` for each distinct length, if more).
+    """
+    nodes = max(nodes, EACH * len(histogram))
     start = [0] * (capacity + 1)
     for length, n in histogram.items():
         start[length] = n
@@ -316,28 +372,18 @@ def placements(found: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
     return {length: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for length, r in runs.items()}
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
+def pack(df: DataFrame, capacity: int = CAPACITY, length_col: str = "length", labels: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``sequence_id`` and ``offset``; lengths are from 1 to ``capacity``.
 
-    ``df`` is written once with each row's partition and its place there among rows of its length.
+    ``df`` is written once with each row's partition and its place there among rows of its length. ``labels`` is
+    ``("_part", "_place")`` where it has both already.
     """
-    columns = df.columns
-    inner = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), F.col(f"`{length_col}`").cast("long").alias("_length"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = np.zeros(capacity + 1, np.int64)
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("_length")).to_numpy(zero_copy_only=False)
-            place = np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            kinds, first, n = np.unique(length[order], return_index=True, return_counts=True)
-            place[order] = np.arange(len(length)) - np.repeat(first, n) + np.repeat(reached[kinds], n)
-            reached[kinds] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(place)], schema=pa.schema([*batch.schema, ("_part", pa.int32()), ("_place", pa.int64())]))
-
-    rows = durable(inner.mapInArrow(label, ddl + ", _part int, _place long"), "pack")
+    columns = [c for c in df.columns if c not in labels]
+    inner = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), F.col(f"`{length_col}`").cast("long").alias("_length"), *labels)
+    if not labels:
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+        inner = inner.mapInArrow(lambda batches: _labelled(batches, capacity, "_length"), ddl + ", _part int, _place long")
+    rows = durable(inner, "pack")
     counts = rows.groupBy("_part", "_length").agg(F.count(F.lit(1)).alias("_n"))
     # At most ``capacity`` rows reach the driver.
     histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}
@@ -370,8 +416,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, length_col: str = "length") ->
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    own = pieces(docs, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
-    return pack(own, capacity)
+    return pack(pieces(docs, path, capacity, digest=True), capacity, labels=("_part", "_place"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
