@@ -2,9 +2,8 @@
 
 Pieces of one length are interchangeable, so a packing is decided by the histogram of lengths: at most ``capacity``
 counts, whatever the corpus. The driver searches on that histogram alone (branch and bound over undominated fillings
-around the largest piece left, pruned by the waste the incumbent leaves over; best fit gives the first incumbent;
-the search is limited, ``WIDTH``, ``NODES`` and ``EACH``, as the problem is hard) and
-gets a table of fillings with multiplicities. Pieces are then placed in parallel: a piece's place among those of its
+around the largest piece left, pruned by the waste the incumbent leaves over; best fit, with and without
+an exact end, gives the first incumbent; the search is limited, ``WIDTH`` and ``NODES``, as the problem is hard) and gets a table of fillings with multiplicities. Pieces are then placed in parallel: a piece's place among those of its
 length, which needs only counts per (partition, length), picks its sequence and offset by binary search.
 
 Ids are those of the library called plainly: the strings of its special tokens become those tokens.
@@ -33,8 +32,8 @@ CAPACITY = 2048
 END = np.zeros(1, "<u4")
 #: Bytes of remembered words and their ids at which a worker starts afresh, bytes of text whose words are looked up together, and words encoded together.
 MEMORY, CHUNK, WORDS = 64 << 20, 4 << 20, 10_000
-#: Limits of the search: fillings looked at around one piece, and nodes in all (or so many for each distinct length, if that is more).
-WIDTH, NODES, EACH = 12, 20_000, 20
+#: Limits of the search: fillings looked at around one piece, and nodes in all.
+WIDTH, NODES = 12, 20_000
 
 
 #: Words of Latin letters, of which each is one piece for the splitting pattern, with or without marks, which are one too.
@@ -260,9 +259,8 @@ def fillings(counts: list[int], present: list[int], room: int, width: int = WIDT
 def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Fillings (lengths, descending) and how many sequences have each; as few sequences as the search finds.
 
-    It ends at the lower bound, when no node is left, or after ``nodes`` nodes (``EACH`` for each distinct length, if more).
+    It ends at the lower bound, when no node is left, or after ``nodes`` nodes.
     """
-    nodes = max(nodes, EACH * len(histogram))
     start = [0] * (capacity + 1)
     for length, n in histogram.items():
         start[length] = n
@@ -277,13 +275,25 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
     def most(counts: list[int], bag: tuple[int, ...]) -> int:
         return min(counts[p] // bag.count(p) for p in set(bag))
 
-    def best_fit() -> list[tuple[tuple[int, ...], int]]:
+    def best_fit(exact: bool) -> list[tuple[tuple[int, ...], int]]:
+        """The largest that fits, again and again; with ``exact`` two that fill the room, where there are such."""
         counts, out = list(start), []
         present = [p for p in range(1, capacity + 1) if counts[p]]
         while present:
             bag, room, left = [present[-1]], capacity - present[-1], dict()
             left[present[-1]] = counts[present[-1]] - 1
+            if exact:
+                some = np.array(counts)
+                some[present[-1]] -= 1
             while True:
+                if exact and room > 1 and not some[room]:
+                    both = (some[1:room] > 0) & (some[room - 1 : 0 : -1] > 0)
+                    if not room % 2 and some[room // 2] < 2:
+                        both[room // 2 - 1] = False
+                    at = np.flatnonzero(both)
+                    if len(at):
+                        bag += [room - int(at[0]) - 1, int(at[0]) + 1]
+                        break
                 i = bisect.bisect_right(present, room) - 1
                 while i >= 0 and left.get(present[i], counts[present[i]]) == 0:
                     i -= 1
@@ -291,17 +301,23 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
                     break
                 p = present[i]
                 n = min(room // p, left.get(p, counts[p]))
+                if exact:  # one at a time: the next may have a better end
+                    n = 1
+                    some[p] -= 1
                 bag += [p] * n
                 left[p] = left.get(p, counts[p]) - n
                 room -= n * p
-            bag = tuple(bag)
+            bag = tuple(sorted(bag, reverse=True))
             times = most(counts, bag)
             present = take(counts, present, bag, times)
             out.append((bag, times))
         return out
 
-    best = best_fit()
+    best = best_fit(False)
     bound = sum(n for _, n in best)
+    if bound > least:
+        best = min(best, best_fit(True), key=lambda found: sum(n for _, n in found))
+        bound = sum(n for _, n in best)
     if bound == least:
         return best
 
