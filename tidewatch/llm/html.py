@@ -1,19 +1,24 @@
 """Operator 8: main text of HTML pages by two-pass block rules.
 
-A page is cut in blocks at block-level tags. Pass one decides a block by where it stands (menus, headers, footers,
-sidebars, notices, adverts, forms, comments; or an ``article`` or ``main``), else by its length, its density of stop
-words and its density of links. In pass two, blocks that are still ambiguous, most of them short, inherit the label of
-the nearest decided blocks; where two are as near and differ, or there is none, they are boilerplate, except that a
-heading takes the label of the next decided block.
-
-Defined results: a null or empty page has an empty text, and so has one without any main block; tags that are never
-closed end with the page; repeated rows are extracted each by itself; extra columns pass through :func:`extract`.
+A page is cut in blocks at block-level tags, in one pass over its characters. What the page itself says is no article
+(menus, headers, footers, sidebars, notices, adverts, forms, reader comments; by tag, role or class name) goes, as
+scripts and styles do. No tag says that a block is main text: pass one decides by the density of links, the length and
+the density of stop words. Blocks of many links are boilerplate; long ones with enough stop words, and middling ones with many, are
+main text. In pass two, blocks that are still ambiguous, most of them short, inherit the label of the nearest decided
+blocks; a heading takes that of the next decided block; where two are as near and differ they are boilerplate, and
+where no block of the page is decided they are main text.
+
+Defined results: a null or empty page has an empty text, and so has one without any main block; tags and comments that
+are never closed end with the page; repeated rows are extracted each by itself; an empty table gives an empty result;
+a page may be as long as a string can be, and takes time in proportion to its length; extra columns pass through
+:func:`extract`, whatever their names, but for ``text`` and ``n_chars``, which the new ones follow.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +34,7 @@ STOP_WORDS = frozenset(
     " le la les un une des et est dans que qui pas pour sur ce au par plus se son avec il elle sont aux du ne en mais nous vous leur cette"
     " el los las de una y es por con no para su al lo como más pero sus ha este esta entre cuando muy sin sobre también hasta desde son o".split()
 )
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”’…"
 #: Texts that browsers don't show as text, with all they hold.
 _SILENT = frozenset("script style noscript template iframe svg object head select textarea button canvas audio video map datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,13 +44,25 @@ _BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments reply replies respond disqus copyright pagination pager toolbar skip".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>?)")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END = re.compile(r"""=\s*["']|>""")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPLIT = re.compile(r"[^a-z]+")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_HUGE = re.compile(r"&#(?:\d{8,}|[xX][0-9a-fA-F]{7,});?")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a long and of a middling block; share of stop words in a long one (twice that in a middling one); share of linked characters.
 LONG, SHORT, STOPS, LINKS = 140, 60, 0.12, 0.35
 GOOD, BAD, UNSURE = 1, -1, 0
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; numbers beyond any character are U+FFFD, however long they are."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return html.unescape(text) if "&" in text else text
+
+
 def _marked(attributes: str) -> bool:
     """Whether a tag's attributes say that it holds boilerplate."""
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -58,16 +76,72 @@ def _marked(attributes: str) -> bool:
             case "role":
                 if value in _ROLES:
                     return True
-            case _:
+            case "class" | "id":
                 if not _BAD_NAMES.isdisjoint(_SPLIT.split(value)):
                     return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, float, int, bool]]:
-    """(text, share of its characters in links, GOOD or BAD where its place decides else UNSURE, is a heading)."""
-    out: list[tuple[str, float, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main; each with what it stands in
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open" or "close", tag, attributes), in one pass; what scripts and the like hold is left out."""
+    lower = re.sub("[A-Z]+", lambda x: x[0].lower(), page)
+    unclosed: set[str] = set()  # silent tags that don't end any more
+    at, text = 0, 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        begin = at
+        if page.startswith("!--", at + 1):
+            end = page.find("-->", at + 4)
+            found, at = None, len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?") or page[at + 1 : at + 2] == "/" and not page[at + 2 : at + 3].isalpha():
+            end = page.find(">", at + 1)
+            found, at = None, len(page) if end < 0 else end + 1
+        else:
+            closing = page[at + 1 : at + 2] == "/"
+            name = _NAME.match(page, at + 1 + closing)
+            if not name:  # a "<" by itself
+                at += 1
+                continue
+            at = name.end()
+            while True:  # to the ">" that no quoted value holds
+                m = _END.search(page, at)
+                if m is None:
+                    at = end = len(page)
+                    break
+                if m[0] == ">":
+                    end, at = m.start(), m.end()
+                    break
+                at = page.find(m[0][-1], m.end()) + 1
+                if not at:
+                    at = end = len(page)
+                    break
+            found = ("close" if closing else "open", lower[name.start() : name.end()], page[name.end() : end])
+        if begin > text:
+            yield "text", page[text:begin], ""
+        text = at
+        if not found:
+            continue
+        kind, tag, attributes = found
+        if tag in _SILENT:
+            if kind == "open" and not attributes.endswith("/") and tag not in unclosed:
+                end = lower.find(f"</{tag}", at)
+                if end < 0:
+                    unclosed.add(tag)
+                if end >= 0 or tag != "head":
+                    at = text = end if end >= 0 else len(page)
+            continue
+        yield found
+    if text < len(page):
+        yield "text", page[text:], ""
+
+
+def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
+    """(text, share of its characters in links, stands in something marked as boilerplate, is a heading)."""
+    out: list[tuple[str, float, bool, bool]] = []
+    stack: list[tuple[str, bool]] = []  # tag, boilerplate; with what it stands in
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
     heading = in_link = False
@@ -77,91 +151,67 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                bad, main = stack[-1][1:] if stack else (False, False)
-                out.append((words, min(1.0, linked / len(words)), BAD if bad else GOOD if main else UNSURE, heading))
+                out.append((words, min(1.0, linked / len(words)), bool(stack) and stack[-1][1], heading))
             text.clear()
         linked = 0
 
-    at, lower = 0, None
-    while True:
-        m = _TAG.search(page, at)
-        raw = page[at : m.start() if m else len(page)]
-        if raw:
-            raw = html.unescape(raw) if "&" in raw else raw
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            raw = unescape(tag)
             text.append(raw)
             if in_link:
                 linked += len(raw)
-        if not m:
-            break
-        at = m.end()
-        if m[1]:
-            end = page.find("-->", m.start() + 4)
-            at = len(page) if end < 0 else end + 3
-            continue
-        if not m[3]:
-            continue
-        tag, closing = m[3].lower(), m[2]
-        if tag in _SILENT:
-            if not closing and not m[4].endswith("/"):
-                if lower is None:
-                    lower = page.lower()
-                    if len(lower) != len(page):  # a letter whose lower case is longer
-                        lower = re.sub("[A-Z]", lambda x: x[0].lower(), page)
-                end = lower.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
-                if tag == "head" and end < 0:
-                    at = m.end()
             continue
+        closing = kind == "close"
         if tag == "a":
             in_link = not closing
         elif tag == "br":
             text.append(" ")
-        if tag in _VOID or tag in _INLINE and (closing or not m[4] or not _marked(m[4])):
+        if tag in _VOID or tag in _INLINE and (closing or not attributes or not _marked(attributes)):
             if closing and tag in _INLINE and stack and stack[-1][0] == tag:
                 flush()
-                stack.pop()
+                pop()
             if tag == "hr":
                 flush()
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             heading = False
             in_link = in_link and tag in ("p", "div")
             continue
         # A paragraph ends where the next block starts; so does a list item at the next item.
         if stack and stack[-1][0] == "p" and tag not in _INLINE or stack and stack[-1][0] == tag == "li":
-            stack.pop()
-        heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        bad, main = stack[-1][1:] if stack else (False, False)
-        stack.append((tag, bad or tag in _BAD_TAGS or bool(m[4]) and _marked(m[4]), main or tag in ("article", "main")))
+            pop()
+        heading = tag in _HEADINGS
+        stack.append((tag, bool(stack) and stack[-1][1] or tag in _BAD_TAGS or bool(attributes) and _marked(attributes)))
+        opened[tag] += 1
     flush()
     return out
 
 
-def classify(found: list[tuple[str, float, int, bool]]) -> list[int]:
-    """GOOD or BAD for each block."""
-    has_main = any(place == GOOD for _, _, place, _ in found)
+def stop_density(words: str) -> float:
+    each = words.lower().split()
+    return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in each) / len(each)
+
+
+def classify(found: list[tuple[str, float, bool, bool]]) -> list[int]:
+    """GOOD or BAD for each block that isn't marked as boilerplate, in their order."""
+    found = [f for f in found if not f[2]]
     labels = []
-    for words, links, place, _ in found:
-        if place == BAD or has_main and place != GOOD:
-            labels.append(BAD)
-        elif place == GOOD:
-            labels.append(BAD if links > 0.8 else GOOD)
-        elif links > LINKS:
+    for words, links, _, _ in found:
+        if links > LINKS:
             labels.append(BAD)
+        elif len(words) >= SHORT and stop_density(words) >= (STOPS if len(words) >= LONG else 2 * STOPS):
+            labels.append(GOOD)
         else:
-            each = words.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in each) / len(each)
-            if len(words) >= LONG:
-                labels.append(GOOD if stops >= STOPS else UNSURE)
-            elif len(words) >= SHORT and stops >= 2 * STOPS:
-                labels.append(GOOD)
-            else:
-                labels.append(UNSURE)
+            labels.append(UNSURE)
     decided = [i for i, x in enumerate(labels) if x != UNSURE]
     out = list(labels)
     k = 0
@@ -176,7 +226,7 @@ def classify(found: list[tuple[str, float, int, bool]]) -> list[int]:
             out[i] = labels[after]
         elif before is None or after is None:
             near = after if before is None else before
-            out[i] = BAD if near is None else labels[near]
+            out[i] = GOOD if near is None else labels[near]
         elif i - before != after - i:
             out[i] = labels[before if i - before < after - i else after]
         else:
@@ -186,7 +236,8 @@ def classify(found: list[tuple[str, float, int, bool]]) -> list[int]:
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    return "\n".join(words for (words, *_), label in zip(found, classify(found), strict=True) if label == GOOD)
+    left = [words for words, _, marked, _ in found if not marked]
+    return "\n".join(words for words, label in zip(left, classify(found), strict=True) if label == GOOD)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
