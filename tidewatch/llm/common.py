@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,17 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Shuffle files of the write go when it is done, since nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     # Rows can be long: small Arrow batches keep what is outside the heap small as well.
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
+    batch, cleanup = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, clean = spark.conf.get(batch), spark.conf.get(cleanup, "false")
     spark.conf.set(batch, str(min(int(before), 1024) if int(before) > 0 else 1024))
+    spark.conf.set(cleanup, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(batch, before)
+        spark.conf.set(cleanup, clean)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -124,8 +128,3 @@ def drop_durable(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def tidy(spark: SparkSession) -> None:
-    """Asks for the shuffle files of finished queries to go: Spark removes them once the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
