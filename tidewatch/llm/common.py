@@ -95,11 +95,11 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class Memory(dict):
-    """What ``make(key)`` gave for keys, of which about the last ``size`` to twice ``size`` are remembered."""
+    """What ``make(key)`` gave for keys, of which about the last ``size`` (and ``most`` bytes of keys) to twice as many are remembered."""
 
-    def __init__(self, make, size: int):
+    def __init__(self, make, size: int, most: int = 24 << 20):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.most, self.old, self.bytes = make, size, most, {}, 0
 
     def __missing__(self, key):
         if not self.recall(key):
@@ -115,8 +115,9 @@ class Memory(dict):
         return True
 
     def put(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
+        self.bytes += len(key)
+        if len(self) >= self.size or self.bytes > self.most:
+            self.old, self.bytes = dict(self), len(key)
             self.clear()
         self[key] = value
 
