@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,30 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64  # bytes of a word hashed by numpy
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits for each stretch of the bytes."""
+    out = sizes.astype(np.uint64)
+    order = np.argsort(-np.minimum(sizes, _LONG + 1), kind="stable")
+    long = np.count_nonzero(sizes > _LONG)
+    for i in order[:long]:
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    order = order[long:]
+    below = -sizes[order]
+    for j in range(-int(below[0]) if len(order) else 0):
+        own = order[: np.searchsorted(below, -j, side="left")]
+        out[own] = mixed(out[own] ^ data[starts[own] + j] + np.uint64(1))
+    return out
+
+
 class Memory(dict):
     """What ``make(key)`` gave for keys, of which about the last ``size`` (and ``most`` bytes of keys) to twice as many are remembered."""
 

@@ -276,7 +276,7 @@ class Regions:
         np.maximum.at(high, self.of, self.ids[self.doc])
         present, first = np.unique(self.part, return_index=True)
         out = []
-        for p, a, b in zip(present.tolist(), first, np.append(first[1:], len(one)), strict=True):
+        for p, a, b in zip(present.tolist(), first, np.append(first, len(one))[1:], strict=True):
             own = one[a:b]
             bytes_ = self.bytes_(self.start[own], self.size[own])
             alone = np.flatnonzero(self.place[own] == WIDTH)
@@ -424,7 +424,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(row[r], kind="stable")
         r, a, b, m = r[order], a[order].astype(np.uint8), b[order].astype(np.uint8), m[order]
         kinds, first = np.unique(row[r], return_index=True)
-        for k, x, y in zip(kinds, first, np.append(first[1:], len(r)), strict=True):
+        for k, x, y in zip(kinds, first, np.append(first, len(r))[1:], strict=True):
             out.append((blocks[k], number[r[x:y]].astype(np.int32).tobytes(), a[x:y].tobytes(), b[x:y].tobytes(), m[x:y].tobytes()))
     del bytes_
     release()

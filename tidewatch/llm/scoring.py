@@ -28,13 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import durable, read_table, release, rows_of, text_bytes
+from tidewatch.llm.common import durable, hash_words, mixed, read_table, release, rows_of, text_bytes
 
 ORDER = 6
 #: Bytes of text in a block, and in the corpus for each partition of strings.
@@ -42,8 +41,6 @@ BLOCK, PART = 8 << 20, 16 << 20
 _SPACE, _END = 0x20, 0x0A  # no word has either
 #: States of a context: totals (exact below 8, then two for each doubling), kinds of bytes, bytes since the last space.
 _TOTALS, _KINDS, _SINCE = 40, 12, ORDER + 1
-_LONG = 64  # bytes of a word hashed by numpy
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(id_col: str = "doc_id"):
@@ -69,11 +66,6 @@ def _unpack_sorted(data: bytes, kind) -> np.ndarray:
     return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
 def stream(data: bytes) -> bytes:
     """What is predicted of a text: its words with a space between two, and the end."""
     return b" ".join(data.lower().split()) + b"\n"
@@ -101,17 +93,7 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= gap[:-1]
     starts = np.flatnonzero(start)
     sizes = np.flatnonzero(gap)[np.searchsorted(np.flatnonzero(gap), starts)] - starts if len(starts) else starts
-    out = sizes.astype(np.uint64)
-    order = np.argsort(-np.minimum(sizes, _LONG + 1), kind="stable")
-    long = np.count_nonzero(sizes > _LONG)
-    for i in order[:long]:
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
-    order = order[long:]
-    below = -sizes[order]
-    for j in range(-int(below[0]) if len(order) else 0):
-        own = order[: np.searchsorted(below, -j, side="left")]
-        out[own] = _mixed(out[own] ^ data[starts[own] + j] + np.uint64(1))
-    return out, starts
+    return hash_words(data, starts, sizes), starts
 
 
 def _distinct(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +113,7 @@ def _dealt(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """By the last three bytes of the context."""
-    return (_mixed(keys >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    return (mixed(keys >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
 
 
 def _word_part(hashes: np.ndarray, parts: int) -> np.ndarray:
