@@ -36,7 +36,9 @@ def test_outcomes(spark):
 
 def test_crawl_batches(spark):
     body = {"b": [{"s": "shop.example", "u": "/a/?x", "bot": "GPTBot", "ai": True, "st": 200}, {"s": "bad site", "u": "/a", "bot": "B"}, {"s": "x.crawl", "u": "/a", "bot": "B"}, {"s": "x", "u": "a", "bot": "B"}, {"s": "x", "u": "/b", "bot": "B", "st": 9}]}
-    got = [(r.site, r.path, r.label, r.channel, r.props) for r in ingest.crawl_events(requests(spark, body), F.lit(NOW)).orderBy("ts_ms").collect()]
+    rows = ingest.crawl_events(requests(spark, body), F.lit(NOW)).orderBy("ts_ms").collect()
+    got = [(r.site, r.path, r.label, r.channel, r.props) for r in rows]
+    assert [(r.ts_ms, r.ts_client_ms, r.platform) for r in rows] == [(NOW, NOW, "web"), (NOW + 1, NOW + 1, "web")]
     assert got == [("shop.example.crawl", "/a", "GPTBot", "ai", '{"status":200}'), ("x.crawl", "/b", "B", "crawler", '{"status":0}')]
 
 
@@ -79,7 +81,7 @@ def test_streaming_shapes(spark, sf):
 
 
 def test_url_edge_cases(spark):
-    urls = [("http://h/a b", "h", "/a%20b"), ("https://User@Host:8080//x//?q", "host", "//x"), ("https://h", "h", "/"), ("https://h/", "h", "/"), ("nothing", "", ""), (None, "", ""), ("https://h/é/", "h", "/é")]
+    urls = [("http://h/a b", "h", "/a%20b"), ("https://User@Host:8080//x//?q", "host", "//x"), ("https://h", "h", "/"), ("https://h/", "h", "/"), ("nothing", "", ""), (None, "", ""), ("https://h/é/", "h", "/%C3%A9"), ("https://h/<a>", "h", "/%3Ca%3E"), ("https://h/a%2Fb", "h", "/a%2Fb"), ("https://h/{x}+%41", "h", "/%7Bx%7D+A"), ("http://[::1]:80/x", "::1", "/x"), ("//h/p", "h", "/p"), ("http://h:abc/", "", ""), ("http://h/%zz", "", ""), ("http://a b/", "", ""), ("http://h/\n", "", ""), ("http://h/(a)*", "h", "/(a)*")]
     df = spark.createDataFrame(urls, "u string, host string, path string")
     for r in df.select("host", "path", enrich.url_host(F.col("u")).alias("h"), enrich.url_path(F.col("u")).alias("p")).collect():
         assert (r.h, r.p) == (r.host, r.path)

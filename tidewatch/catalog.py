@@ -15,6 +15,7 @@ from tidewatch.plans.request import Request, checked
 from tidewatch.plans.timerange import HOUR_MS, Span, local, local_days, midnight, period_key, plan_hours, previous
 from tidewatch.schema import DIMENSIONS
 from tidewatch.sources import adapter
+from tidewatch.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: 2024-01-10 to 24 UTC.
@@ -203,6 +204,30 @@ def _fn_page_url(spark: SparkSession, d: str) -> DataFrame:
 _FN_PAGE_URL_SQL = "WITH a AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages) SELECT page_id, host, CASE WHEN p = '' THEN '/' ELSE p END AS path, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS utm_source, regexp_matches(url, '[?&](gclid|gbraid|wbraid|fbclid|msclkid|ttclid|li_fat_id)=[^&#]') AS click_id FROM a"
 
 
+# URLs that are odd, with their host and path.
+_URL_EDGES = [
+    ("http://h/a b", "h", "/a%20b"), ("https://User@Host:8080//x//?q", "host", "//x"), ("https://h", "h", "/"), ("nothing", "", ""), ("", "", ""), ("https://h/é/", "h", "/%C3%A9"), ("https://h/<a>", "h", "/%3Ca%3E"),
+    ("https://h/a%2Fb", "h", "/a%2Fb"), ("https://h/{x}+%41", "h", "/%7Bx%7D+A"), ("http://[::1]:80/x", "::1", "/x"), ("//h/p", "h", "/p"), ("http://h:abc/", "", ""), ("http://h/%zz", "", ""), ("http://a b/", "", ""), ("http://h/(a)*", "h", "/(a)*"),
+]
+_CRAWL_BODY = '{"b": [{"s": "bad site", "u": "/a", "bot": "B"}, {"s": "shop.example", "u": "/a/?x", "bot": " GPTBot", "ai": true, "st": 200, "g": "%s"}, {"s": "x.crawl", "u": "/a", "bot": "B"}, {"s": "x", "u": "/b", "bot": "B", "st": 9, "g": "p"}]}' % ("g" * 200)
+_CRAWL_ROWS = [(1000, 1000, "shop.example.crawl", "/a", "g" * 128, "GPTBot", "ai", "web", '{"status":200}'), (1001, 1001, "x.crawl", "/b", "p", "B", "crawler", "web", '{"status":0}')]
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    cell = lambda v: f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _fn_url_edges(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return spark.createDataFrame([(r[0],) for r in _URL_EDGES], "url string").select("url", enrich.url_host(u).alias("host"), enrich.url_path(u).alias("path"))
+
+
+def _fn_crawl_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.crawl_events(spark.createDataFrame([(_CRAWL_BODY,)], "body string"), F.lit(1000).cast("long"))
+    return rows.select("ts_ms", "ts_client_ms", "site", "path", "page", "label", "channel", "platform", "props")
+
+
 def _fn_visitor_id(spark: SparkSession, d: str) -> DataFrame:
     salt = F.lit(enrich.daily_salt(b"secret", "2024-01-10"))
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -312,6 +337,8 @@ def _table() -> dict[str, tuple[Query, str | None]]:
     r = _ask("topPages", START + 7 * 86_400_000, END, compare="previous")
     before = previous(r.span, r.timezone)
     out["compare_breakdown"] = _on(traffic.compare_breakdown, r), f"{EV}, p AS (SELECT path AS label, count(*) AS n FROM ev WHERE ts_ms >= {before.start} AND ts_ms < {before.end} AND event = '$pageview' AND path <> '' GROUP BY path) SELECT path AS label, {COUNTS}, CAST(coalesce(any_value(n), 0) AS BIGINT) AS previous FROM ev LEFT JOIN p ON p.label = path WHERE {_in(r)} AND path <> '' GROUP BY path ORDER BY events DESC, path LIMIT 10"
+    out["compare_top_events"] = _on(traffic.compare_top_events, _ask("topEvents", r.start, r.end, compare="previous")), f"{EV}, p AS (SELECT event AS label, count(*) AS n FROM ev WHERE ts_ms >= {before.start} AND ts_ms < {before.end} GROUP BY event) SELECT event AS label, {COUNTS}, {VISITS} AS visits, CAST(coalesce(any_value(n), 0) AS BIGINT) AS previous FROM ev LEFT JOIN p ON p.label = event WHERE {_in(r, None)} GROUP BY event ORDER BY events DESC, label LIMIT 10"
+    out["total_over_time"] = _on(traffic.period_total, _ask("pageviewsOverTime", r.start, r.end, compare="previous")), f"{EV} SELECT CAST(count(*) FILTER (WHERE {_in(r)}) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE ts_ms >= {before.start} AND ts_ms < {before.end} AND event = '$pageview') AS BIGINT) AS previous_total FROM ev"
     out["compare_total"] = _on(traffic.compare_total, r), f"{EV} SELECT CAST(count(*) AS BIGINT) AS previous_total FROM ev WHERE ts_ms >= {before.start} AND ts_ms < {before.end} AND event = '$pageview' AND path <> ''"
     r = _ask("pageviewsOverTime", START + 7 * 86_400_000, END, compare="previous")
     days = r.end - r.start
@@ -391,6 +418,8 @@ def _table() -> dict[str, tuple[Query, str | None]]:
 
     out["fn_event_name"] = lambda s, d: _flat(s, d, "events").select("event_id", enrich.canonical_event(F.expr(_case("event_id", ("page_view", "pageView", "view", "click", "PageView")))).alias("event")), f"SELECT event_id, CASE WHEN x IN ('page_view', 'pageView', 'PageView') THEN '$pageview' ELSE x END AS event FROM (SELECT event_id, {_case('event_id', ('page_view', 'pageView', 'view', 'click', 'PageView'))} AS x FROM events)"
     out["fn_page_url"] = _fn_page_url, _FN_PAGE_URL_SQL
+    out["fn_url_edges"] = _fn_url_edges, _values("url, host, path", _URL_EDGES)
+    out["fn_crawl_rows"] = _fn_crawl_rows, _values("ts_ms, ts_client_ms, site, path, page, label, channel, platform, props", _CRAWL_ROWS)
     out["fn_click_id"] = lambda s, d: _flat(s, d, "pages").select("page_id", enrich.has_click_id(F.concat("url", F.when(F.col("page_id") % 2 == 0, "?gclid=1&x=2").otherwise("?gclid=&fbclidx=3"))).alias("click")), "SELECT page_id, page_id % 2 = 0 AND NOT contains(url, '#') AS click FROM pages"
     out["fn_referrer_host"] = lambda s, d: _flat(s, d, "pages").select("page_id", enrich.referrer_host(F.upper("url")).alias("host")), "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages"
     out["fn_channel"] = _fn_channel, _fn_channel_sql()

@@ -62,31 +62,50 @@ def canonical_event(name: Column) -> Column:
     return F.when(name.isin(*PAGEVIEW_NAMES), PAGEVIEW).otherwise(name)
 
 
-# URLs are taken apart by pattern rather than by a strict parser, which refuses what browsers send (a space, a bar).
-_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*):\/\/([^\/?#]*)([^?#]*)(\?[^#]*)?"
+# URLs are taken apart by pattern, in one pass; what is no URL (control characters, a broken escape in the path, a port
+# that is no number, a host with characters that none has) has neither host nor path.
+_URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?\/\/([^\/?#]*)([^?#]*)(\?[^#]*)?"
+# Bytes that stand in a host, that a path may have as they are, and that escaping a path leaves.
+_HOST = r"""^(?:[^@]*@)?(?:\[[0-9a-fA-F:.]*\]|[a-zA-Z0-9\-_.~!$&'()*+,;="<>%\x{80}-\x{10ffff}]*)(?::[0-9]*)?$"""
+_PATH = r"^[a-zA-Z0-9\-_.~$&+,/:;=@!'()*\[\]%]*$"
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.~$&+,/:;=@"
+
+
+def _is_url(url: Column) -> Column:
+    url = _empty(url)
+    broken = url.rlike(r"[\x00-\x1f\x7f]") | F.regexp_extract(url, _URL, 2).rlike("%(?![0-9a-fA-F]{2})")
+    return ~broken & F.regexp_extract(url, _URL, 1).rlike(_HOST)
+
+
+def _escaped(path: Column) -> Column:
+    """Decoded, and each byte that isn't plain written as an escape."""
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    pairs = F.split(F.hex(F.encode(decoded, "UTF-8")), r"(?<=\G..)")
+    plain = F.create_map(*(F.lit(x) for c in _PLAIN for x in (f"{ord(c):02X}", c)))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p != ""), lambda p: F.coalesce(F.try_element_at(plain, p), F.concat(F.lit("%"), p))), "")
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without user and port; '' where there is none."""
-    authority = F.regexp_extract(_empty(url), _URL, 2)
-    return F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", ""))
+    """Lower-case host without user, port and brackets; '' where there is none."""
+    host = F.regexp_replace(F.regexp_replace(F.regexp_extract(_empty(url), _URL, 1), "^.*@", ""), r":[0-9]*$", "")
+    return F.when(_is_url(url), F.lower(F.regexp_replace(host, r"^\[(.*)\]$", "$1"))).otherwise("")
 
 
 def url_path(url: Column) -> Column:
     """Escaped path without query and fragment; '/' for none; no slash at the end but the root's."""
-    path = F.regexp_replace(F.regexp_extract(_empty(url), _URL, 3), "/+$", "")
-    path = F.replace(F.replace(F.replace(path, F.lit(" "), F.lit("%20")), F.lit('"'), F.lit("%22")), F.lit("|"), F.lit("%7C"))
+    raw = F.regexp_extract(_empty(url), _URL, 2)
+    path = F.regexp_replace(F.when(raw.rlike(_PATH), raw).otherwise(_escaped(raw)), "/+$", "")
     return F.when(url_host(url) == "", "").otherwise(F.when(path == "", "/").otherwise(path))
 
 
 def url_parameter(url: Column, name: str) -> Column:
     """The decoded value of a query parameter; '' where it is absent or can't be decoded."""
-    raw = F.regexp_extract(F.regexp_extract(_empty(url), _URL, 4), f"[?&]{name}=([^&]*)", 1)
+    raw = F.regexp_extract(F.regexp_extract(_empty(url), _URL, 3), f"[?&]{name}=([^&;]*)(?:&|$)", 1)
     return F.when(raw == "", "").otherwise(_empty(F.try_url_decode(raw)))
 
 
 def has_click_id(url: Column) -> Column:
-    return F.regexp_extract(_empty(url), _URL, 4).rlike(f"[?&]{_one_of(CLICK_IDS)}=[^&]")
+    return F.regexp_extract(_empty(url), _URL, 3).rlike(f"[?&]{_one_of(CLICK_IDS)}=(?:[^&%;]|%[0-9a-fA-F]{{2}})+(?:&|$)")
 
 
 def referrer_host(referrer: Column) -> Column:
@@ -200,7 +219,7 @@ def tenant_site(ua: Column, url: Column, origin: Column, host_site: Column, app_
     """Site of a request: by the tag that an app's wrapper adds to its agent, by a path-prefixed URL on an allowed host whose Origin agrees, else ``host_site`` (looked up by the request's host)."""
     tag = rf"{app_tag}\S*\s+([^/\s]+)/(\S+)"
     client, app = F.regexp_extract(_empty(ua), tag, 1), F.regexp_extract(_empty(ua), tag, 2)
-    path = F.regexp_extract(_empty(url), _URL, 3)
+    path = F.regexp_extract(_empty(url), _URL, 2)
     head = F.when(path.contains("/page/"), F.regexp_extract(path, "^(.*?)/page/", 1)).otherwise(F.regexp_extract(path, "^(.*?)/manifest/", 1))
     of = lambda i: F.regexp_extract(head, "^/([^/]+)/([^/]+)", i)
     host = url_host(url)

@@ -44,6 +44,24 @@ def top_events(events: DataFrame, r: Request) -> DataFrame:
     return ranked(rows, r.limit)
 
 
+def compare_top_events(events: DataFrame, r: Request) -> DataFrame:
+    """The event names with each one's count in the span before, 0 where it is new."""
+    before = of_site(events, r.site, previous(r.span, r.timezone)).groupBy(F.col("event").alias("label")).agg(F.count(F.lit(1)).alias("previous"))
+    return top_events(events, r).join(before, "label", "left").na.fill(0, ["previous"]).orderBy(F.desc("events"), "label")
+
+
+def period_total(events: DataFrame, r: Request, any_event: bool = False) -> DataFrame:
+    """Events of the span, and of the span before where the request compares; before any limit."""
+
+    def rows(span: Span, name: str) -> DataFrame:
+        own = of_site(events, r.site, span) if any_event else _rows(events, r, span)
+        return own.select(F.lit(name).alias("span"))
+
+    spans = {"total": r.span} | ({"previous_total": previous(r.span, r.timezone)} if r.compare else {})
+    both = [rows(span, name) for name, span in spans.items()]
+    return (both[0].union(both[1]) if r.compare else both[0]).agg(*(F.count_if(F.col("span") == name).alias(name) for name in spans))
+
+
 def audience(events: DataFrame, r: Request) -> DataFrame:
     """views, visitors, visits of page views."""
     rows = of_site(events, r.site, r.span).where(F.col("event") == PAGEVIEW)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.operators import assistants, engagement, rollup, sequence, traffic, visits
 from tidewatch.plans.request import BREAKDOWNS, ROLLED, Authorizer, DenyAll, Refused, Request, checked
@@ -55,15 +56,17 @@ class Engine:
     def _sections(self, e: DataFrame, r: Request) -> dict[str, DataFrame]:
         if self.rollups is not None and self._rolled(r):
             if r.widget in ("pageviewsOverTime", "eventTimeline"):
-                return {"rows": rollup.over_time(e, self.rollups, r.site, r.span, r.timezone, r.event), "audience": self._audience(r)}
+                rows = rollup.over_time(e, self.rollups, r.site, r.span, r.timezone, r.event)
+                return {"rows": rows, "total": rows.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total")), "audience": self._audience(r)}
             if r.widget == "topEvents":
                 return {"rows": rollup.top_events(e, self.rollups, r.site, r.span, r.limit), "audience": self._audience(r)}
         match r.widget:
             case "pageviewsOverTime" | "eventTimeline":
                 rows = traffic.compare_timeline(e, r) if r.compare else traffic.over_time(e, r)
-                return {"rows": rows, "audience": self._audience(r)}
+                return {"rows": rows, "total": traffic.period_total(e, r), "audience": self._audience(r)}
             case "topEvents":
-                return {"rows": traffic.top_events(e, r), "audience": self._audience(r)}
+                rows = traffic.compare_top_events(e, r) if r.compare else traffic.top_events(e, r)
+                return {"rows": rows, "total": traffic.period_total(e, r, any_event=True), "audience": self._audience(r)}
             case "funnel":
                 return {"rows": sequence.funnel(e, r)}
             case "retention":

@@ -81,7 +81,7 @@ def to_events(requests: DataFrame, s: Settings, received_ms: Column, salt: Colum
     ip = enrich.client_ip(F.col("edge_ip"), F.col("forwarded"), F.col("socket"))
     given = F.coalesce(F.col("v"), F.lit(""))
     columns = {
-        "event_id": F.xxhash64("at", "i", "s", "v", "u", "e"), "ts_ms": F.col("at") + F.col("i"), "ts_client_ms": F.col("e.t"), "site": F.col("site"),
+        "event_id": F.xxhash64("at", "i", "s", "v", enrich.visitor_id(ip, F.col("ua"), F.col("site"), F.col("salt")), "u", "e"), "ts_ms": F.col("at") + F.col("i"), "ts_client_ms": F.col("e.t"), "site": F.col("site"),
         "event": enrich.canonical_event(F.col("e.e")), "path": enrich.event_path(F.col("e.u"), url), "page": F.col("e.g"), "label": F.col("e.l"),
         "visitor": F.when(given != "", given).otherwise(enrich.visitor_id(ip, F.col("ua"), F.col("site"), F.col("salt"))), "session": F.col("s"),
         "referrer_host": referrer, "channel": enrich.channel(referrer, host, source, medium, enrich.has_click_id(url)),
@@ -96,10 +96,14 @@ def to_events(requests: DataFrame, s: Settings, received_ms: Column, salt: Colum
 
 
 def crawl_events(requests: DataFrame, received_ms: Column) -> DataFrame:
-    """Canonical events of crawl batches, filed under the site's crawl key."""
-    rows = requests.select(received_ms.alias("at"), F.posexplode(F.from_json("body", CRAWL_SCHEMA)["b"]).alias("i", "h"))
-    rows = rows.where(enrich.crawl_valid(F.col("h.s"), F.col("h.bot"), F.col("h.u")))
-    return complete(rows.select(F.xxhash64("at", "i", "h").alias("event_id"), (F.col("at") + F.col("i")).alias("ts_ms"), F.concat(F.trim("h.s"), F.lit(CRAWL_SUFFIX)).alias("site"), F.lit(CRAWL).alias("event"), enrich.crawl_path(F.col("h.u")).alias("path"), F.col("h.g").alias("page"), F.trim("h.bot").alias("label"), F.when(F.col("h.ai"), "ai").otherwise("crawler").alias("channel"), enrich.crawl_props(F.col("h.st")).alias("props")))
+    """Canonical events of crawl batches, filed under the site's crawl key. The i-th valid hit of a batch is stamped i ms after it."""
+    valid = F.filter(F.from_json("body", CRAWL_SCHEMA)["b"], lambda h: enrich.crawl_valid(h["s"], h["bot"], h["u"]))
+    rows = requests.select(received_ms.alias("at"), F.posexplode(valid).alias("i", "h")).withColumn("ts", F.col("at") + F.col("i"))
+    columns = {
+        "event_id": F.xxhash64("at", "i", "h"), "ts_ms": F.col("ts"), "ts_client_ms": F.col("ts"), "site": F.concat(F.trim("h.s"), F.lit(CRAWL_SUFFIX)), "event": F.lit(CRAWL),
+        "path": enrich.crawl_path(F.col("h.u")), "page": F.left(F.col("h.g"), F.lit(128)), "label": F.trim("h.bot"), "channel": F.when(F.col("h.ai"), "ai").otherwise("crawler"), "platform": F.lit("web"), "props": enrich.crawl_props(F.col("h.st")),
+    }
+    return complete(rows.select(*(c.alias(n) for n, c in columns.items())))
 
 
 def start(requests: DataFrame, root: str, checkpoint: str, s: Settings, now_ms: Callable[[], int], trigger: dict | None = None) -> StreamingQuery:
